@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from affinis.llm import chat, url_filter
+from affinis.llm import bpe, chat, url_filter
 
 QUERIES = {
     "op5_chat_format": chat.query,
+    "op7_byte_bpe": bpe.query,
     "op9_url_filter": url_filter.query,
 }
 ORACLE_SQL = {
