@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from affinis.llm import bpe, chat, url_filter
+from affinis.llm import bpe, chat, simhash, url_filter
 
 QUERIES = {
+    "op4_simhash_near_dedup": simhash.query,
     "op5_chat_format": chat.query,
     "op7_byte_bpe": bpe.query,
     "op9_url_filter": url_filter.query,
