@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from affinis.llm import bpe, chat, language_id, simhash, url_filter
+from affinis.llm import bpe, chat, language_id, quality, simhash, url_filter
 
 QUERIES = {
     "op2_language_id": language_id.query,
+    "op3_quality_rules": quality.query,
     "op4_simhash_near_dedup": simhash.query,
     "op5_chat_format": chat.query,
     "op7_byte_bpe": bpe.query,
