@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from affinis.llm import bpe, chat, language_id, quality, simhash, url_filter
+from affinis.llm import bpe, chat, language_id, packing, quality, simhash, url_filter
 
 QUERIES = {
     "op2_language_id": language_id.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash_near_dedup": simhash.query,
     "op5_chat_format": chat.query,
     "op7_byte_bpe": bpe.query,
+    "op8_best_fit_packing": packing.query,
     "op9_url_filter": url_filter.query,
 }
 ORACLE_SQL = {
