@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from affinis.llm import bpe, chat, language_id, packing, quality, simhash, url_filter
+from affinis.llm import bpe, chat, language_id, packing, quality, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op2_language_id": language_id.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_byte_bpe": bpe.query,
     "op8_best_fit_packing": packing.query,
     "op9_url_filter": url_filter.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 ORACLE_SQL = {
     "op5_chat_format": chat.SQL,
