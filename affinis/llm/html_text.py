@@ -50,6 +50,8 @@ ENDS = {
     "tr": (frozenset(("td", "th", "tr", "caption", "colgroup")), frozenset(("table",))),
     **{x: (frozenset(("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup")), frozenset(("table",))) for x in ("tbody", "thead", "tfoot", "caption", "colgroup")},
 }
+#: What means nothing outside a table.
+PARTS = frozenset(("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup", "col"))
 SCOPE = frozenset(("table", "td", "th", "caption", "button", "template"))
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
@@ -132,6 +134,8 @@ class Builder:
             return
         if self.open[-1].tag == "head" and tag not in HEAD:
             self.leave_head()
+        if tag in PARTS and not self.count.get("table"):
+            return
         if tag in CLOSES_P and self.count.get("p"):
             self.close({"p"}, SCOPE)
         if tag in ENDS:
