@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PLAIN = (
     (r"(?s)<!--.*?-->", ""), (r"(?s)<(ref|gallery|timeline|math|code|noinclude)\b[^>]*?/>", ""), (r"(?s)<(ref|gallery|timeline|math|code|noinclude)\b.*?</\1>", ""), (r"<[^>]{1,200}>", ""),
@@ -32,7 +33,7 @@ def remove_nested(text: str, opening: str, closing: str) -> str:
     return "".join([*out, text[kept:]])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def drop_templates(text: pd.Series) -> pd.Series:
     """Templates {{...}} and tables {|...|} removed, and entities resolved."""
     return text.map(lambda t: None if t is None else html.unescape(remove_nested(remove_nested(t, "{{", "}}"), "{|", "|}")))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, where body's lambdas would compute it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -16,8 +23,7 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """Unit vector; null where the norm is 0."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
+    return let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)))
 
 
 def overlap(a: Column, b: Column) -> Column:

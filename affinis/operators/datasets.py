@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from affinis.functions.measures import let
+
 
 def whitespace_tokens(text: Column, separator: str = "[ \\t\\n\\r]+", upper: bool = False) -> Column:
     parts = F.split(F.upper(text) if upper else text, separator)
@@ -22,16 +24,25 @@ def alphanumeric_tokens(text: Column, upper: bool = False) -> Column:
 
 def qgrams(text: Column, q: int, pad: str = "#") -> Column:
     """All substrings of q characters of the text padded by q - 1 signs on both ends."""
-    padded = F.concat(F.lit(pad * (q - 1)), text, F.lit(pad * (q - 1)))
-    last = F.length(padded) - (q - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(padded, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def cut(t: Column) -> Column:
+        last = F.length(t) - (q - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(t, i, F.lit(q)))).otherwise(none)
+
+    return let(F.concat(F.lit(pad * (q - 1)), text, F.lit(pad * (q - 1))), cut)
 
 
 def shingles(words: Column, n: int, pad: str = "#") -> Column:
     """All runs of n words, padded by n - 1 signs on both ends, joined by spaces."""
-    padded = F.concat(F.array(*[F.lit(pad)] * (n - 1)), words, F.array(*[F.lit(pad)] * (n - 1))) if n > 1 else words
-    last = F.size(padded) - (n - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(padded, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    ends = F.array(*[F.lit(pad)] * (n - 1))
+    none = F.array().cast("array<string>")
+
+    def cut(w: Column) -> Column:
+        last = F.size(w) - (n - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(none)
+
+    return let(F.concat(ends, words, ends) if n > 1 else words, cut)
 
 
 def hashed_tokens(words: Column) -> Column:

@@ -82,28 +82,29 @@ def run(spark: SparkSession, config: Config, store: str, rerun: bool = False, ti
         return None
     df = spark.read.parquet(config.path)
     tag = f"affinis-{time.time_ns()}"
-    expired = threading.Event()
+    done, expired = threading.Event(), threading.Event()
 
-    def cancel() -> None:
-        expired.set()
-        spark.sparkContext.cancelJobsWithTag(tag)
+    def watch() -> None:
+        if not done.wait(timeout):
+            expired.set()
+            while not done.wait(0.1):  # jobs that start after the first call are cancelled too
+                spark.sparkContext.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(timeout, cancel) if timeout else None
     spark.sparkContext.addJobTag(tag)
+    watcher = threading.Thread(target=watch, daemon=True) if timeout else None
     began = time.perf_counter()
+    pairs = None
     try:
-        if timer:
-            timer.start()
+        if watcher:
+            watcher.start()
         pairs = similarity_self_join(
             df, config.id_col, config.value_col, config.threshold, config.algorithm, config.k, config.k2, config.recall, config.seed, config.sketch_bits, config.sketch_epsilon, config.dry_run
         ).count()
     except Exception:
         if not expired.is_set():
             raise
-        pairs = None
     finally:
-        if timer:
-            timer.cancel()
+        done.set()
         spark.sparkContext.removeJobTag(tag)
     record(spark, config, store, None if pairs is None else int(1000 * (time.perf_counter() - began)), pairs)
     return pairs

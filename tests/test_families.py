@@ -11,7 +11,7 @@ from affinis.plans.params import COSINE, JACCARD, Tensor, tensor
 
 
 def arrays(rows, kind):
-    return pa.array(rows, pa.list_(kind))
+    return pa.array(list(rows), pa.list_(kind))
 
 
 def test_hyperplane_collision_rate():
