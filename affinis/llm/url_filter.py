@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affinis.functions.measures import let
 from affinis.llm.common import col, table
 
 BLOCKED = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
@@ -33,14 +34,15 @@ def default_rules(spark: SparkSession) -> DataFrame:
 
 
 def host_suffixes(host: Column) -> Column:
-    labels = F.split(host, r"\.")
-    last = F.when(host.rlike(r"^[0-9.]+$"), F.lit(1)).otherwise(F.greatest(F.size(labels) - 1, F.lit(1)))
-    return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    def cut(labels: Column) -> Column:
+        last = F.when(host.rlike(r"^[0-9.]+$"), F.lit(1)).otherwise(F.greatest(F.size(labels) - 1, F.lit(1)))
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+    return let(F.split(host, r"\."), cut)
 
 
 def path_prefixes(path: Column, query: Column) -> Column:
-    parts = F.split(path, "/")
-    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
+    folders = let(F.split(path, "/"), lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.concat(F.array_join(F.slice(p, F.lit(1), i), "/"), F.lit("/"))))
     return F.array_distinct(F.concat(folders, F.array(path, F.concat(path, query))))
 
 
@@ -50,7 +52,7 @@ def url_expressions(url: Column) -> Column:
     path = F.regexp_extract(url, PATH, 1)
     path = F.when(path == "", F.lit("/")).otherwise(path)
     query = F.regexp_extract(url, QUERY, 1)
-    pairs = F.transform(host_suffixes(host), lambda h: F.transform(path_prefixes(path, query), lambda p: F.concat(h, p)))
+    pairs = let(path_prefixes(path, query), lambda prefixes: F.transform(host_suffixes(host), lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
     return F.when(host != "", F.flatten(pairs))
 
 
