@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from affinis.llm.bpe import byte_hash, mix
 from affinis.llm.common import col, cut, slices, table, utf8
 
-BITS, RADIUS, RECALL = 256, 48, 0.98
+BITS, RADIUS, RECALL = 256, 52, 0.98
 #: Share of differing bits for which the tables must reach the recall.
-SHARE = 0.12
+SHARE = 0.14
 PUNCTUATION = string.punctuation + "¡¿«»„“”‘’…–—·"
 
 

@@ -14,9 +14,9 @@ def test_bit_sliced_pairs_equal_brute_force():
     bits = np.repeat(rng.integers(0, 2, (120, 256)), 5, axis=0) ^ (rng.random((600, 256)) < 0.1)
     sims = np.packbits(bits.astype(np.uint8), axis=1)
     bucket = np.sort(rng.integers(0, 7, 600))
-    got = {(int(i), int(j)) for a, b in simhash.near_pairs(sims, bucket, 48, block=64) for i, j in zip(a, b, strict=True)}
+    got = {(int(i), int(j)) for a, b in simhash.near_pairs(sims, bucket, simhash.RADIUS, block=64) for i, j in zip(a, b, strict=True)}
     d = (bits[:, None] != bits[None]).sum(2)
-    assert got == {(i, j) for i in range(600) for j in range(i + 1, 600) if bucket[i] == bucket[j] and d[i, j] <= 48}
+    assert got == {(i, j) for i in range(600) for j in range(i + 1, 600) if bucket[i] == bucket[j] and d[i, j] <= simhash.RADIUS}
     assert len(got) > 500
 
 
