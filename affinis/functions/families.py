@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,7 +127,19 @@ def hash_at(left, right, rep, scheme: Tensor):
     return F.shiftleft(F.element_at(left, i), scheme.k_right).bitwiseOR(F.element_at(right, j))
 
 
-def first_collision(left_l, right_l, left_r, right_r, scheme: Tensor):
-    """The first repetition at which two pools that collide do so: least equal left half times the pool's size plus least equal right half."""
-    at = lambda a, b: F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) - 1
-    return at(left_l, left_r) * scheme.hashers + at(right_l, right_r)
+#: Up to this many hashers a comparison of pools is unrolled, which Spark compiles; beyond, it is a higher-order function.
+UNROLL = 64
+
+
+def first_equal(a: Column, b: Column, n: int) -> Column:
+    """Index from 0 of the first place where two arrays of n values agree; null where there is none."""
+    if n <= UNROLL:
+        return F.coalesce(*(F.when(a.getItem(i) == b.getItem(i), F.lit(i)) for i in range(n)))
+    at = F.array_position(F.zip_with(a, b, lambda x, y: x == y), True)
+    return F.when(at > 0, (at - 1).cast("int"))
+
+
+def first_collision(left_l: Column, right_l: Column, left_r: Column, right_r: Column, scheme: Tensor) -> Column:
+    """The first repetition at which two pools collide: least equal left half times the pool's size plus least equal right half; null if they never do."""
+    rep = first_equal(left_l, left_r, scheme.hashers) * scheme.hashers + first_equal(right_l, right_r, scheme.hashers)
+    return F.when(rep < scheme.repetitions, rep)

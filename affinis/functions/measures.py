@@ -41,13 +41,13 @@ def length_filter(size_a: Column, size_b: Column, threshold: float) -> Column:
     return (size_a >= F.lit(threshold - 1e-12) * size_b) & (size_b >= F.lit(threshold - 1e-12) * size_a)
 
 
-def different_bits(a: Column, b: Column) -> Column:
-    """Of two sketches, arrays of 64-bit words."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def different_bits(a: Column, b: Column, words: int) -> Column:
+    """Of two sketches, arrays of so many 64-bit words."""
+    return sum((F.bit_count(a.getItem(i).bitwiseXOR(b.getItem(i))) for i in range(1, words)), F.bit_count(a.getItem(0).bitwiseXOR(b.getItem(0))))
 
 
-def same_bits(a: Column, b: Column) -> Column:
-    return F.size(a) * 64 - different_bits(a, b)
+def same_bits(a: Column, b: Column, words: int) -> Column:
+    return F.lit(64 * words) - different_bits(a, b, words)
 
 
 def estimate(same: Column, bits: int, measure: str) -> Column:

@@ -34,7 +34,7 @@ def similarity_join(
     c = F.col
     met = side(rows, "l").join(side(other, "r"), ["rep", "hash"])
     if sketch_bits:
-        met = met.where(different_bits(c("sketch_l"), c("sketch_r")) <= limit)
+        met = met.where(different_bits(c("sketch_l"), c("sketch_r"), sketch_bits // 64) <= limit)
     met = met.where(first_collision(c("left_l"), c("right_l"), c("left_r"), c("right_r"), scheme) == c("rep"))
     sim = dot(c("v_l"), c("v_r")) if measure == COSINE else jaccard(c("v_l"), c("v_r"))
     return met.select("id_l", "id_r", sim.alias("similarity")).where(c("similarity") >= threshold - 1e-12)

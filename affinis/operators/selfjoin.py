@@ -10,10 +10,11 @@ which its two pools tell without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinis.functions.families import Hasher, first_collision, hash_at, measure_of
@@ -204,8 +205,26 @@ def candidates(hashed: DataFrame, hasher: Hasher, with_self: bool = False) -> Da
     out = joined.withColumn("first", first_collision(c("left_l"), c("right_l"), c("left_r"), c("right_r"), scheme) == c("rep"))
     if inner:
         out = out.withColumn("first", c("first") & (first_collision(c("left2_l"), c("right2_l"), c("left2_r"), c("right2_r"), inner) == c("rep2")))
-    bits = different_bits(c("sketch_l"), c("sketch_r")) if hasher.sketch_bits else F.lit(0)
-    return out.withColumn("bits", bits)
+    return out.withColumn("bits", sketch_distance(hasher))
+
+
+def sketch_distance(hasher: Hasher) -> Column:
+    return different_bits(F.col("sketch_l"), F.col("sketch_r"), hasher.sketch_bits // 64) if hasher.sketch_bits else F.lit(0)
+
+
+def surviving_pairs(hashed: DataFrame, hasher: Hasher, limit: int) -> DataFrame:
+    """(id_l, id_r): pairs that collide (at both levels, if there are two) and whose sketches are near, each once.
+
+    The cheap tests are one condition, in order: sketches, then first collision. The inner level is a join key only where
+    its buckets prune more than its repetitions multiply; else it is a test of the two inner pools, which spares exploding them.
+    """
+    c = F.col
+    inner = hasher.inner
+    if inner is None or inner.repetitions * 4 < 2**inner.k:
+        return candidates(hashed, hasher).where((c("bits") <= limit) & c("first")).select("id_l", "id_r")
+    outer = candidates(hashed, replace(hasher, inner=None))
+    meets = first_collision(c("left2_l"), c("right2_l"), c("left2_r"), c("right2_r"), inner).isNotNull()
+    return outer.where((c("bits") <= limit) & c("first") & meets).select("id_l", "id_r")
 
 
 def verify(pairs: DataFrame, rows: DataFrame, measure: str, dim: int) -> DataFrame:
@@ -246,12 +265,10 @@ def similarity_self_join(
         return local_lsh(rows, hasher, threshold, limit, groups or group_count(rows))
     if algorithm not in ("one-level-lsh", "two-level-lsh"):
         raise ValueError(f"no algorithm {algorithm}")
-    met = candidates(hasher.add(rows), hasher)
+    hashed = hasher.add(rows)
     if dry_run:
-        return met.select("id_l", "id_r", "rep", *(["rep2"] if hasher.inner else []))
-    # Cheap tests first, in one condition: sketches, then first collision, then the exact similarity.
-    left = met.where((F.col("bits") <= limit) & F.col("first")).select("id_l", "id_r")
-    return verify(left, rows, measure, dim).where(F.col("similarity") >= threshold - 1e-12)
+        return candidates(hashed, hasher).select("id_l", "id_r", "rep", *(["rep2"] if hasher.inner else []))
+    return verify(surviving_pairs(hashed, hasher, limit), rows, measure, dim).where(F.col("similarity") >= threshold - 1e-12)
 
 
 def first_matches(df: DataFrame, id_col: str, value_col: str, threshold: float, n: int) -> DataFrame:

@@ -163,7 +163,7 @@ def sketch_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     sk = hasher.add(rows).select("id", "sketch")
     p = selfjoin.similarity_self_join(vectors(spark, sf_dir), "id", "v", R_COSINE)
     both = p.join(sk.select(F.col("id").alias("id_l"), F.col("sketch").alias("a")), "id_l").join(sk.select(F.col("id").alias("id_r"), F.col("sketch").alias("b")), "id_r")
-    est = measures.estimate(measures.same_bits(F.col("a"), F.col("b")), 256, COSINE)
+    est = measures.estimate(measures.same_bits(F.col("a"), F.col("b"), 4), 256, COSINE)
     return both.agg(F.count("*").alias("n"), F.round(F.avg(F.abs(est - F.col("similarity"))), 6).alias("mean_error"), F.round(F.avg(est - F.col("similarity")), 6).alias("bias"))
 
 

@@ -30,7 +30,7 @@ def test_measures(spark):
     assert first(spark, measures.normalize(b)) is None
     x, y = F.array(F.lit(1), F.lit(2), F.lit(3)), F.array(F.lit(2), F.lit(3), F.lit(4))
     assert first(spark, measures.jaccard(x, y)) == 0.5
-    assert first(spark, measures.different_bits(F.array(F.lit(7).cast("bigint")), F.array(F.lit(-1).cast("bigint")))) == 61
+    assert first(spark, measures.different_bits(F.array(F.lit(7).cast("bigint")), F.array(F.lit(-1).cast("bigint")), 1)) == 61
 
 
 def test_encoding(spark):
