@@ -76,6 +76,22 @@ def halves(scheme: Tensor, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
+#: Half-hashes of a pool are packed LANES to a 64-bit word, LANE bits each; they have at most 15 bits.
+LANES, LANE, TOP = 3, 20, 0x8000
+ONES, FLAGS = (sum(bit << (LANE * i) for i in range(LANES)) for bit in (0xFFFF, 0x10000))
+
+
+def words_of(n: int) -> int:
+    return -(-n // LANES)
+
+
+def pack_pool(x: np.ndarray) -> np.ndarray:
+    """(rows, hashers) half-hashes to (rows, words)."""
+    wide = np.zeros((len(x), words_of(x.shape[1]) * LANES), np.int64)
+    wide[:, : x.shape[1]] = x
+    return (wide.reshape(len(x), -1, LANES) << (LANE * np.arange(LANES))).sum(2)
+
+
 def as_lists(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), kind))
 
@@ -113,33 +129,47 @@ class Hasher:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 got = self.columns(b.column(1))
-                out = [b.column(0), *([b.column(1)] if keep_value else []), *(as_lists(got[n], pa.int32()) for n in names), as_lists(got["sketch"], pa.int64())]
+                out = [b.column(0), *([b.column(1)] if keep_value else []), *(as_lists(pack_pool(got[n]), pa.int64()) for n in names), as_lists(got["sketch"], pa.int64())]
                 yield pa.RecordBatch.from_arrays(out, names=["id", *(["v"] if keep_value else []), *names, "sketch"])
 
         kinds = dict(df.dtypes)
-        schema = f"id {kinds['id']}" + (f", v {kinds['v']}" if keep_value else "") + "".join(f", {n} array<int>" for n in names) + ", sketch array<bigint>"
+        schema = f"id {kinds['id']}" + (f", v {kinds['v']}" if keep_value else "") + "".join(f", {n} array<bigint>" for n in names) + ", sketch array<bigint>"
         return df.select("id", "v").mapInArrow(run, schema)
 
 
-def hash_at(left, right, rep, scheme: Tensor):
-    """The k-bit hash at a repetition, as a Column."""
-    i, j = F.expr(f"CAST({rep} DIV {scheme.hashers} AS INT) + 1"), F.expr(f"CAST({rep} % {scheme.hashers} AS INT) + 1")
-    return F.shiftleft(F.element_at(left, i), scheme.k_right).bitwiseOR(F.element_at(right, j))
+def at_lane(pool: Column, i: str) -> Column:
+    """The half-hash at index i, an SQL expression, of a packed pool."""
+    word = F.element_at(pool, F.expr(f"CAST(({i}) DIV {LANES} AS INT) + 1"))
+    return F.call_function("shiftrightunsigned", word, F.expr(f"CAST({LANE} * (({i}) % {LANES}) AS INT)")).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
+
+
+def hash_at(left: Column, right: Column, rep: str, scheme: Tensor) -> Column:
+    """The k-bit hash at a repetition."""
+    return F.shiftleft(at_lane(left, f"{rep} DIV {scheme.hashers}"), scheme.k_right).bitwiseOR(at_lane(right, f"{rep} % {scheme.hashers}"))
 
 
-#: Up to this many hashers a comparison of pools is unrolled, which Spark compiles; beyond, it is a higher-order function.
-UNROLL = 64
+def prefix_words(pool: Column, i: Column, n: int) -> list[Column]:
+    """The words of a pool of n half-hashes, those from index i on replaced by a value that no half-hash equals."""
+    marks = sum(TOP << (LANE * x) for x in range(LANES))
+    out = []
+    for w in range(words_of(n)):
+        lanes = F.least(F.greatest(i - w * LANES, F.lit(0)), F.lit(LANES))
+        keep = F.call_function("shiftleft", F.lit(1).cast("bigint"), lanes * LANE) - 1
+        out.append(pool.getItem(w).bitwiseAND(keep).bitwiseOR(F.bitwise_not(keep).bitwiseAND(F.lit(marks).cast("bigint"))))
+    return out
 
 
-def first_equal(a: Column, b: Column, n: int) -> Column:
-    """Index from 0 of the first place where two arrays of n values agree; null where there is none."""
-    if n <= UNROLL:
-        return F.coalesce(*(F.when(a.getItem(i) == b.getItem(i), F.lit(i)) for i in range(n)))
-    at = F.array_position(F.zip_with(a, b, lambda x, y: x == y), True)
-    return F.when(at > 0, (at - 1).cast("int"))
+def none_equal(left: list[Column], right: list[Column]) -> Column:
+    """Whether no two half-hashes at one place are equal. Adding ONES carries into a lane's flag unless its difference is 0; each word is used once, so the compiled test is short."""
+    zero = [F.bitwise_not(a.bitwiseXOR(b) + F.lit(ONES).cast("bigint")).bitwiseAND(F.lit(FLAGS).cast("bigint")) for a, b in zip(left, right, strict=True)]
+    found = zero[0]
+    for z in zero[1:]:
+        found = found.bitwiseOR(z)
+    return found == 0
 
 
-def first_collision(left_l: Column, right_l: Column, left_r: Column, right_r: Column, scheme: Tensor) -> Column:
-    """The first repetition at which two pools collide: least equal left half times the pool's size plus least equal right half; null if they never do."""
-    rep = first_equal(left_l, left_r, scheme.hashers) * scheme.hashers + first_equal(right_l, right_r, scheme.hashers)
-    return F.when(rep < scheme.repetitions, rep)
+def pools_meet(left_l: Column, right_l: Column, left_r: Column, right_r: Column, scheme: Tensor) -> Column:
+    """Whether two pools collide in some repetition: the least equal left half times the pool's size plus the least equal right half is one."""
+    lanes = lambda pool: F.transform(F.sequence(F.lit(0), F.lit(scheme.hashers - 1)), lambda i: F.call_function("shiftrightunsigned", F.element_at(pool, (F.floor(i / LANES) + 1).cast("int")), (i % LANES) * LANE).bitwiseAND(F.lit(0xFFFF).cast("bigint")))
+    at = lambda a, b: F.nullif(F.array_position(F.zip_with(lanes(a), lanes(b), lambda x, y: x == y), True), F.lit(0)) - 1
+    return F.coalesce(at(left_l, left_r) * scheme.hashers + at(right_l, right_r) < scheme.repetitions, F.lit(False))

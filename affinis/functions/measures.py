@@ -32,8 +32,7 @@ def overlap(a: Column, b: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets (arrays without repetition); null where both are empty."""
-    both = overlap(a, b)
-    return F.try_divide(both.cast("double"), (F.size(a) + F.size(b) - both).cast("double"))
+    return let(overlap(a, b), lambda both: F.try_divide(both.cast("double"), (F.size(a) + F.size(b) - both).cast("double")))
 
 
 def length_filter(size_a: Column, size_b: Column, threshold: float) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.functions.families import first_collision, hash_at
+from affinis.functions.families import hash_at
 from affinis.functions.measures import different_bits, dot, jaccard
-from affinis.operators.selfjoin import items, make_hasher
+from affinis.operators.selfjoin import bucket_side, first_only, items, make_hasher
 from affinis.plans.params import COSINE, sketch_threshold
 
 
@@ -21,20 +21,22 @@ def similarity_join(
     """
     other, measure, dim = items(right, id_col, value_col)
     rows = left.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{value_col}`").alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0))
-    rows = rows.withColumn("v", F.col("v").cast("array<double>") if measure == COSINE else F.array_sort(F.array_distinct("v")).cast("array<bigint>"))
+    rows = rows.withColumn("v", F.col("v").cast("array<double>") if measure == COSINE else F.sort_array(F.array_distinct("v")).cast("array<bigint>"))
     hasher = make_hasher(measure, dim, threshold, k, None, recall, seed, sketch_bits)
     scheme = hasher.scheme
     limit = sketch_threshold(measure, sketch_bits, threshold, sketch_epsilon)
 
+    keys, pools = ["rep", "hash"], {"": scheme}
+
     def side(df: DataFrame, s: str) -> DataFrame:
         out = hasher.add(df, keep_value=True).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(scheme.repetitions - 1))))
         out = out.withColumn("hash", hash_at(F.col("left"), F.col("right"), "rep", scheme))
-        return out.select("rep", "hash", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "v", "left", "right", "sketch")))
+        return bucket_side(out, [*keys, F.col("v").alias(f"v_{s}")], pools, s)
 
     c = F.col
-    met = side(rows, "l").join(side(other, "r"), ["rep", "hash"])
+    met = side(rows, "l").join(side(other, "r"), keys)
     if sketch_bits:
         met = met.where(different_bits(c("sketch_l"), c("sketch_r"), sketch_bits // 64) <= limit)
-    met = met.where(first_collision(c("left_l"), c("right_l"), c("left_r"), c("right_r"), scheme) == c("rep"))
+    met = met.where(first_only(pools))
     sim = dot(c("v_l"), c("v_r")) if measure == COSINE else jaccard(c("v_l"), c("v_r"))
     return met.select("id_l", "id_r", sim.alias("similarity")).where(c("similarity") >= threshold - 1e-12)

@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.functions.families import Hasher, first_collision, hash_at, measure_of
-from affinis.functions.measures import different_bits
+from affinis.functions.families import Hasher, hash_at, measure_of, none_equal, pools_meet, prefix_words, words_of
+from affinis.functions.measures import different_bits, jaccard
 from affinis.operators.cells import BOTH, LEFT, triangle_cells
 from affinis.plans.params import COSINE, Tensor, sketch_threshold, tensor, triangle_groups, two_level
+from affinis.sources.io import cut
 
 #: Most rows of a group of the triangle; a cell holds two groups.
 GROUP_ROWS = 4096
@@ -30,10 +31,12 @@ def items(df: DataFrame, id_col: str, value_col: str) -> tuple[DataFrame, str, i
     """(id, v) with usable values, the measure and, for vectors, the dimension. Sets lose repeated tokens; empty ones go."""
     measure = measure_of(df, value_col)
     v = F.col(f"`{value_col}`")
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), (v.cast("array<double>") if measure == COSINE else F.array_sort(F.array_distinct(v)).cast("array<bigint>")).alias("v"))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), (v.cast("array<double>") if measure == COSINE else F.sort_array(F.array_distinct(v)).cast("array<bigint>")).alias("v"))
     rows = rows.where(F.col("id").isNotNull() & (F.size("v") > 0))
     dim = 0
-    if measure == COSINE:
+    if measure != COSINE:
+        rows = cut(rows)  # read several times, and often made from text
+    else:
         first = rows.select(F.size("v").alias("n")).first()
         dim = first["n"] if first else 0
     return rows, measure, dim
@@ -192,20 +195,42 @@ def candidates(hashed: DataFrame, hasher: Hasher, with_self: bool = False) -> Da
     The join is on (rep, hash), or on both levels' repetitions and hashes; vectors take no part in it.
     """
     scheme, inner = hasher.scheme, hasher.inner
-    slim = hashed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(scheme.repetitions - 1)))).withColumn("hash", hash_at(F.col("left"), F.col("right"), "rep", scheme))
-    keys = ["rep", "hash"]
+    # Few input files must not mean few tasks for the explosion; slim rows are cheap to spread.
+    spread = hashed.repartition(int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    slim = spread.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(scheme.repetitions - 1)))).withColumn("hash", hash_at(F.col("left"), F.col("right"), "rep", scheme))
+    keys, pools = ["rep", "hash"], {"": scheme}
     if inner:
         slim = slim.withColumn("rep2", F.explode(F.sequence(F.lit(0), F.lit(inner.repetitions - 1)))).withColumn("hash2", hash_at(F.col("left2"), F.col("right2"), "rep2", inner))
-        keys += ["rep2", "hash2"]
-    pools = [c for c in slim.columns if c not in keys]
-    side = lambda s: slim.select(*keys, *(F.col(c).alias(f"{c}_{s}") for c in pools))
+        keys, pools = [*keys, "rep2", "hash2"], {"": scheme, "2": inner}
+    l, r = bucket_side(slim, keys, pools, "l"), bucket_side(slim, keys, pools, "r")
     order = F.col("id_l") <= F.col("id_r") if with_self else F.col("id_l") < F.col("id_r")
-    c = F.col
-    joined = side("l").join(side("r"), keys).where(order)
-    out = joined.withColumn("first", first_collision(c("left_l"), c("right_l"), c("left_r"), c("right_r"), scheme) == c("rep"))
-    if inner:
-        out = out.withColumn("first", c("first") & (first_collision(c("left2_l"), c("right2_l"), c("left2_r"), c("right2_r"), inner) == c("rep2")))
-    return out.withColumn("bits", sketch_distance(hasher))
+    # Statistics do not see how far the repetitions multiply the rows: never broadcast a side.
+    joined = l.hint("merge").join(r, keys).where(order)
+    return joined.withColumn("first", first_only(pools)).withColumn("bits", sketch_distance(hasher))
+
+
+def bucket_side(slim: DataFrame, keys: list, pools: dict[str, Tensor], s: str) -> DataFrame:
+    """One side of a bucket join. The left one keeps of its pools only what precedes the repetition, so that the test for a first collision needs no repetition."""
+    out = [F.col("id").alias(f"id_{s}"), F.col("sketch").alias(f"sketch_{s}")]
+    for level, scheme in pools.items():
+        for name, i in (("left", f"CAST(rep{level} DIV {scheme.hashers} AS INT)"), ("right", f"CAST(rep{level} % {scheme.hashers} AS INT)")):
+            pool = F.col(name + level)
+            words = prefix_words(pool, F.expr(i), scheme.hashers) if s == "l" else [pool.getItem(w) for w in range(words_of(scheme.hashers))]
+            out += [w.alias(f"{name}{level}_{s}{k}") for k, w in enumerate(words)]
+    rest = [F.col(c).alias(f"{c}_{s}") for c in ("left2", "right2") if c in slim.columns and "2" not in pools]
+    return slim.select(*keys, *out, *rest)
+
+
+def first_only(pools: dict[str, Tensor]) -> Column:
+    tests = [
+        none_equal([F.col(f"{name}{level}_l{w}") for w in range(words_of(scheme.hashers))], [F.col(f"{name}{level}_r{w}") for w in range(words_of(scheme.hashers))])
+        for level, scheme in pools.items()
+        for name in ("left", "right")
+    ]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
 
 
 def sketch_distance(hasher: Hasher) -> Column:
@@ -223,15 +248,17 @@ def surviving_pairs(hashed: DataFrame, hasher: Hasher, limit: int) -> DataFrame:
     if inner is None or inner.repetitions * 4 < 2**inner.k:
         return candidates(hashed, hasher).where((c("bits") <= limit) & c("first")).select("id_l", "id_r")
     outer = candidates(hashed, replace(hasher, inner=None))
-    meets = first_collision(c("left2_l"), c("right2_l"), c("left2_r"), c("right2_r"), inner).isNotNull()
+    meets = pools_meet(c("left2_l"), c("right2_l"), c("left2_r"), c("right2_r"), inner)
     return outer.where((c("bits") <= limit) & c("first") & meets).select("id_l", "id_r")
 
 
 def verify(pairs: DataFrame, rows: DataFrame, measure: str, dim: int) -> DataFrame:
-    """(id_l, id_r, similarity, and pairs' other columns): values join to the pairs that are left, and are compared a batch at a time."""
+    """(id_l, id_r, similarity, and pairs' other columns): values join to the pairs that are left; sets are compared in the JVM, vectors a batch at a time."""
     extra = [c for c in pairs.columns if c not in ("id_l", "id_r")]
     both = pairs.join(rows.select(F.col("id").alias("id_l"), F.col("v").alias("v_l")), "id_l").join(rows.select(F.col("id").alias("id_r"), F.col("v").alias("v_r")), "id_r")
     both = both.select("id_l", "id_r", "v_l", "v_r", *extra)
+    if measure != COSINE:
+        return both.select("id_l", "id_r", jaccard(F.col("v_l"), F.col("v_r")).alias("similarity"), *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -36,8 +36,8 @@ class Tensor:
 
 
 def tensor(measure: str, threshold: float, k: int, recall: float = 0.8) -> Tensor:
-    if not 2 <= k <= 32:
-        raise ValueError("k must be from 2 to 32")
+    if not 2 <= k <= 30:
+        raise ValueError("k must be from 2 to 30")
     if not 0 < recall < 1:
         raise ValueError("recall must lie between 0 and 1")
     p = probability(measure, threshold)
