@@ -6,9 +6,11 @@ browser does not show; a renderer emits the rest: blocks on lines of their own w
 they have margins, list items with markers and indents, tables with aligned columns, preformatted text as it is.
 
 Visibility: nothing of ``head``, scripts, styles, templates, ``noscript``, embedded frames and data lists; nothing of an
-element with ``hidden``, with ``display: none`` in its ``style`` or in a style-sheet rule for its tag,
-class or id, of a closed ``details`` but its summary, or of a ``dialog`` that isn't open;
-``visibility: hidden`` is inherited and may be undone below.
+element whose ``display`` is ``none`` by the cascade of its ``style`` and the page's style sheets (``affinis.llm.css`` says what is
+read, and for which screen), of one with ``hidden`` or a ``dialog`` that isn't open unless the cascade shows it, or of a closed
+``details`` but its summary; ``visibility: hidden`` is inherited and may be undone below. Of SVG the ``text`` elements (a line
+each) and ``foreignObject`` are seen, of MathML all but annotations and phantoms, parts of fractions, scripts and rows
+separated by spaces; text that only ``use`` would draw isn't.
 
 Defined cases: a null page gives a null text; an empty page, or one without visible text, an empty text; broken
 markup gives the text that the rules above yield, never an error; unclosed elements end with their parent; pages are
@@ -27,12 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from affinis.llm.common import col, slices, table
+from affinis.llm.css import Cascade, Sheet
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset(("title", "textarea"))
 HEAD = frozenset("base basefont bgsound link meta title script style noscript template noframes".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas svg math area param source track".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas area param source track".split())
+#: Unseen within svg or math.
+FOREIGN_UNSEEN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom mprescripts".split())
+#: MathML elements whose parts stand beside or above one another.
+APART = frozenset("mfrac msup msub msubsup mroot munder mover munderover mmultiscripts mtr mlabeledtr".split())
+#: Start tags that end svg and math, unless one of INTEGRATION is open within.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr menu fieldset".split())
 BLOCK = MARGIN | frozenset(
     "address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary tbody td tfoot th thead tr".split()
@@ -55,16 +65,14 @@ PARTS = frozenset(("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colg
 SCOPE = frozenset(("table", "td", "th", "caption", "button", "template"))
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-NONE, HIDDEN, SHOWN = re.compile(r"display\s*:\s*none", re.I), re.compile(r"visibility\s*:\s*(hidden|collapse)", re.I), re.compile(r"visibility\s*:\s*visible", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "tag")
+    __slots__ = ("attrs", "kids", "parent", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
+        self.tag, self.attrs, self.kids, self.parent = tag, attrs, [], parent
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -76,16 +84,16 @@ def attributes(source: str) -> dict[str, str]:
 
 
 class Builder:
-    """The tree of one page; css: the text of its style sheets."""
+    """The tree of one page; css: media and text of its style sheets."""
 
     def __init__(self) -> None:
         self.root = Node("html", {})
         self.open = [self.root]
         self.count = {"html": 1}
-        self.css: list[str] = []
+        self.css: list[tuple[str, str]] = []
 
     def push(self, tag: str, attrs: dict[str, str]) -> None:
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, self.open[-1])
         self.open[-1].kids.append(node)
         self.open.append(node)
         self.count[tag] = self.count.get(tag, 0) + 1
@@ -122,16 +130,31 @@ class Builder:
             self.leave_head()
         self.open[-1].kids.append(s)
 
+    def foreign(self) -> int:
+        """Place of the svg or math that the next element would belong to; 0: none."""
+        if self.count.get("svg") or self.count.get("math"):
+            for k in range(len(self.open) - 1, 0, -1):
+                if self.open[k].tag in ("svg", "math"):
+                    return k
+                if self.open[k].tag in INTEGRATION:
+                    break
+        return 0
+
     def start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
         if tag in ("html", "body"):
             self.leave_head()
-            if tag == "body" and not self.count.get("body"):
+            if tag == "html":
+                self.root.attrs = attrs | self.root.attrs
+            elif not self.count.get("body"):
                 self.push("body", attrs)
             return
         if tag == "head":
             if not self.count.get("body") and not self.count.get("head"):
                 self.push("head", attrs)
             return
+        while tag in BREAKOUT and (k := self.foreign()):
+            while len(self.open) > k:
+                self.pop()
         if self.open[-1].tag == "head" and tag not in HEAD:
             self.leave_head()
         if tag in PARTS and not self.count.get("table"):
@@ -148,8 +171,9 @@ class Builder:
             self.push("tr", {})
         elif tag == "tr" and here == "table":
             self.push("tbody", {})
+        alone = tag in VOID or (closed and (tag in ("svg", "math") or self.foreign() > 0))
         self.push(tag, attrs)
-        if tag in VOID or (closed and self.count.get("svg")):
+        if alone:
             self.pop()
 
     def end(self, tag: str) -> None:
@@ -187,12 +211,13 @@ def parse(page: str) -> Builder:
             tree.end(tag)
             continue
         source = m.group(3)
-        tree.start(tag, attributes(source), source.endswith("/"))
-        if tag in RAW or tag in RCDATA:
+        attrs = attributes(source)
+        tree.start(tag, attrs, source.endswith("/"))
+        if (tag in RAW or tag in RCDATA) and tree.open[-1].tag == tag and tree.open[-1].attrs is attrs:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             body = page[at : stop.start() if stop else n]
-            if tag == "style":
-                tree.css.append(body)
+            if tag == "style" and not (tree.count.get("noscript") or tree.count.get("template")) and attrs.get("type", "").strip().lower() in ("", "text/css"):
+                tree.css.append((attrs.get("media", ""), body))
             if tag in RCDATA or tag == "xmp":
                 tree.open[-1].kids.append(html.unescape(body) if tag in RCDATA else body)
             tree.pop()
@@ -200,18 +225,6 @@ def parse(page: str) -> Builder:
     return tree
 
 
-def sheet(css: list[str]) -> tuple[set[str], set[str]]:
-    """Simple selectors (tag, .class, #id) with display: none, and with visibility: hidden."""
-    none: set[str] = set()
-    hidden: set[str] = set()
-    for text in css:
-        for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", text, flags=re.S)):
-            for into, pattern in ((none, NONE), (hidden, HIDDEN)):
-                if pattern.search(body):
-                    into.update(s for x in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s := x.strip()))
-    return none, hidden
-
-
 class Flow:
     """Lines of text under construction; want: newlines due before the next text (2: a blank line)."""
 
@@ -278,38 +291,71 @@ class Flow:
 
 
 class Renderer:
-    def __init__(self, none: set[str], hidden: set[str]):
-        self.none, self.hidden, self.depth = none, hidden, 0
-
-    def styled(self, node: Node, of: set[str]) -> bool:
-        if not of:
-            return False
-        attrs = node.attrs
-        return node.tag in of or "#" + attrs.get("id", "\x00") in of or any("." + c in of for c in attrs.get("class", "").split())
+    def __init__(self, cascade: Cascade):
+        self.cascade, self.depth, self.within = cascade, 0, ""
+        self.node: Node | None = None
+        self.styles: dict[str, str] = {}
+
+    def style(self, node: Node, name: str) -> str:
+        """The value that the cascade gives; empty where it says nothing."""
+        if node is not self.node:
+            self.node, self.styles = node, self.cascade.values(node) if node.attrs or self.cascade.sheet.rules else {}
+        value = self.styles.get(name, "")
+        return "" if value.startswith("revert") else value
 
     def gone(self, node: Node) -> bool:
         tag, attrs = node.tag, node.attrs
-        if tag in UNSEEN:
+        if tag in UNSEEN or (self.within and tag in FOREIGN_UNSEEN) or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
             return True
-        if attrs and ("hidden" in attrs or NONE.search(attrs.get("style", "")) or (tag == "input" and attrs.get("type", "").lower() == "hidden")):
-            return True
-        return (tag == "dialog" and "open" not in attrs) or self.styled(node, self.none)
+        display = self.style(node, "display")
+        if display:
+            return display == "none"
+        return "hidden" in attrs or (tag == "dialog" and "open" not in attrs) or (self.within == "svg" and attrs.get("display") == "none")
 
     def seen(self, node: Node, seen: bool) -> bool:
-        style = node.attrs.get("style", "") if node.attrs else ""
-        if HIDDEN.search(style):
-            return False
-        if SHOWN.search(style):
-            return True
-        return False if self.styled(node, self.hidden) else seen
+        value = self.style(node, "visibility") or (node.attrs.get("visibility", "") if self.within == "svg" else "")
+        return False if value in ("hidden", "collapse") else True if value in ("visible", "initial") else seen
+
+    def foreign(self, node: Node, flow: Flow, seen: bool, pre: bool) -> None:
+        """An svg or math element, or one within."""
+        tag, before = node.tag, self.within
+        if tag in ("svg", "math"):
+            self.within = tag
+            block = tag == "math" and node.attrs.get("display", "").lower() == "block"
+            if block:
+                flow.brk(1)
+            self.kids(node, flow, seen, False)
+            if block:
+                flow.brk(1)
+        elif before == "svg" and tag in ("text", "foreignobject"):
+            flow.brk(1)
+            self.within = "text" if tag == "text" else ""
+            self.kids(node, flow, seen, pre)
+            flow.brk(1)
+        elif before == "math" and tag in APART:
+            row = tag in ("mtr", "mlabeledtr")
+            if row:
+                flow.brk(1)
+            for kid in node.kids:
+                flow.space = True
+                self.kid(kid, flow, seen, pre)
+                flow.space = True
+            if row:
+                flow.brk(1)
+        else:
+            self.kids(node, flow, seen, pre)
+        self.within = before
 
     def kids(self, node: Node, flow: Flow, seen: bool, pre: bool) -> None:
         for kid in node.kids:
-            if isinstance(kid, str):
-                if seen:
-                    self.raw(kid, flow) if pre else flow.text(kid)
-            elif not self.gone(kid):
-                self.element(kid, flow, self.seen(kid, seen), pre)
+            self.kid(kid, flow, seen, pre)
+
+    def kid(self, kid: Node | str, flow: Flow, seen: bool, pre: bool) -> None:
+        if isinstance(kid, str):
+            if seen and self.within != "svg":
+                self.raw(kid, flow) if pre else flow.text(kid)
+        elif not self.gone(kid):
+            self.element(kid, flow, self.seen(kid, seen), pre)
 
     def raw(self, s: str, flow: Flow) -> None:
         for k, line in enumerate(s.replace("\r\n", "\n").split("\n")):
@@ -325,7 +371,9 @@ class Renderer:
 
     def element(self, node: Node, flow: Flow, seen: bool, pre: bool) -> None:
         tag = node.tag
-        if tag == "br":
+        if tag in ("svg", "math") or self.within:
+            self.foreign(node, flow, seen, pre)
+        elif tag == "br":
             flow.newline()
         elif tag in ("ul", "ol", "menu", "dir"):
             self.list(node, flow, seen)
@@ -444,10 +492,10 @@ class Renderer:
 def page_text(page: str | None) -> str | None:
     if page is None:
         return None
-    tree = parse(page)
-    flow, render = Flow(), Renderer(*sheet(tree.css))
     if sys.getrecursionlimit() < 1_000_000:
         sys.setrecursionlimit(1_000_000)
+    tree = parse(page)
+    flow, render = Flow(), Renderer(Cascade(Sheet(tree.css)))
     render.kids(tree.root, flow, True, False)
     return "\n".join(flow.done())
 

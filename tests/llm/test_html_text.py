@@ -23,6 +23,23 @@ def test_pages(page, text):
     assert page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<style>@media print{.nav{display:none}}</style><p class=nav>menu", "menu"), ("<style media=print>p{display:none}</style><p>a", "a"), ("<style>@media not print{.x{display:none}}</style><p class=x>a</p>b", "b"),
+        ("<style>@media (max-width:600px){.x{display:none}}@media screen and (min-width:600px){.y{display:none}}</style><p class=x>a</p><p class=y>b", "a"),
+        ("<style>.x{display:none}</style><p class=x style='display:block'>a", "a"), ("<style>.x{display:none}.x{display:block}</style><p class=x>a", "a"), ("<style>.x{display:none!important}p.x{display:block}</style><p class=x>a</p>b", "b"),
+        ("<style>#i{display:none}.x{display:block}</style><p class=x id=i>a</p>b", "b"), (r"<style>.hidden{display:none}@media (min-width:768px){.md\:block{display:block}}</style><p class='hidden md:block'>a", "a"),
+        ("<style>.m{display:none}.open .m{display:block}</style><div class=open><i><p class=m>a</p></i></div><p class=m>b", "a"), ("<style>a > b{display:none}</style><a><b>1</b><i><b>2</b></i></a>", "2"),
+        ("<style>.x{display:flex}</style><p class=x hidden>a", "a"), ("<noscript><style>p{display:none}</style></noscript><p>a", "a"), ("<style>em{visibility:hidden}div em{visibility:visible}</style><div><em>1</em></div><em>2", "1"),
+        ("so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> ok", "so x= 1 2 ok"), ("<math><semantics><mi>a</mi><annotation>x</annotation></semantics></math>", "a"),
+        ("<svg><title>t</title><text>lab<tspan>el</tspan></text><text>two</text><defs><text>no</text></defs></svg>z", "label\ntwo\nz"), ("<svg><title/><path/></svg>z", "z"), ("<svg><path><p>out</p>z", "out\n\nz"),
+    ],
+)
+def test_cascade_and_foreign_elements(page, text):
+    assert page_text(page) == text
+
+
 def test_deep_and_long_pages():
     assert page_text("<div>" * 30000 + "deep") == "deep"
     assert page_text("<p>x</p>" * 20000).count("x") == 20000
