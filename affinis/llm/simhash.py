@@ -3,7 +3,8 @@
 Each text gets a 256-bit SimHash of its set of distinct words (lower case, outer punctuation
 removed). Equal hashes collapse to one representative. Representatives meet in hash tables keyed by
 ``bits`` sampled positions; the number of bits follows the number of representatives (so that
-buckets stay small at any size) and the number of tables follows from the wanted recall. Within the buckets of a
+buckets stay small at any size) and the number of tables from the wanted recall, at SHARE and, for pairs that differ
+in as many bits as the radius allows, at the radius itself. Within the buckets of a
 partition the hashes are stored as vertical bit planes; a row is compared with its s-th successor
 for all rows at once: the planes are XORed with themselves shifted by s lanes, counted by
 carry-save adders into bit-sliced counters, and a block of 64 lanes is abandoned as soon as all of its
@@ -34,6 +35,10 @@ from affinis.llm.common import col, cut, slices, table, utf8
 BITS, RADIUS, RECALL = 256, 52, 0.98
 #: Share of differing bits for which the tables must reach the recall.
 SHARE = 0.14
+#: Recall of pairs right at the radius; nearer ones are found more often.
+EDGE_RECALL = 0.9
+#: Rows of a bucket, on average, beyond which keys get wider.
+BUCKET_ROWS = 128
 PUNCTUATION = string.punctuation + "¡¿«»„“”‘’…–—·"
 
 
@@ -84,10 +89,14 @@ def hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.where("id IS NOT NULL").mapInArrow(run, "id bigint, sim binary")
 
 
-def plan(n: int, recall: float = RECALL, share: float = SHARE) -> tuple[int, int]:
-    """Bits of a table's key, and number of tables, for n hashes."""
-    bits = min(40, max(16, math.ceil(math.log2(max(n, 2))) - 2))
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** bits))
+def plan(n: int, recall: float = RECALL, share: float = SHARE, radius: int = RADIUS, edge_recall: float = EDGE_RECALL) -> tuple[int, int]:
+    """Bits of a table's key, and number of tables, for n hashes: recall at share, and edge_recall at radius differing bits."""
+    bits = min(40, max(16, math.ceil(math.log2(max(n, 2) / BUCKET_ROWS))))
+    edge = math.comb(BITS - radius, bits) / math.comb(BITS, bits)
+    if not edge:
+        raise ValueError(f"radius {radius} leaves no {bits} equal bits")
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** bits))
+    return bits, max(tables, math.ceil(math.log(1 - edge_recall) / math.log1p(-edge)) if edge < 1 else 1)
 
 
 def positions(bits: int, tables: int) -> np.ndarray:
@@ -150,10 +159,11 @@ def near_pairs(sims: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, block
     """Pairs of rows within the radius, of rows that are sorted by bucket and share one. sims: (n, 32) bytes."""
     n = len(sims)
     width = n // 64 + 1
-    bits = np.zeros((BITS, (width + 1) * 64), np.uint8)
-    bits[:, :n] = np.unpackbits(sims, axis=1).T
-    planes = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-    del bits
+    planes = np.zeros((BITS, (width + 1) * 8), np.uint8)
+    for lo in range(0, n, 32768):
+        some = np.packbits(np.unpackbits(sims[lo : lo + 32768], axis=1).T, axis=1, bitorder="little")
+        planes[:, lo // 8 : lo // 8 + some.shape[1]] = some
+    planes = planes.view(np.uint64)
     ends = np.searchsorted(bucket, bucket, side="right")
     rest = np.zeros(width * 64, np.int64)
     rest[:n] = ends - 1 - np.arange(n)
@@ -222,7 +232,7 @@ def components(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.nda
 
 def edges(reps: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
     """(u, v), u > v: links between near representatives; those that share a bucket and are near end up connected."""
-    where = positions(*plan(n, recall))
+    where = positions(*plan(n, recall, radius=radius))
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

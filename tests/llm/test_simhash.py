@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -75,6 +76,16 @@ def test_plan_keeps_its_recall():
         assert all(len(set(p)) == bits for p in simhash.positions(bits, tables).tolist())
 
 
+def test_plan_keeps_its_recall_at_the_radius():
+    for n in (1, 10**5, 10**7, 10**10):
+        bits, tables = simhash.plan(n)
+        one = math.comb(simhash.BITS - simhash.RADIUS, bits) / math.comb(simhash.BITS, bits)
+        assert 1 - (1 - one) ** tables >= 0.9
+    far = np.random.default_rng(2).random((2000, simhash.BITS)).argsort(1)[:, : simhash.RADIUS]
+    where = simhash.positions(*simhash.plan(236_000))
+    assert np.mean([not all(np.isin(t, d).any() for t in where) for d in far[:300]]) >= 0.85
+
+
 def test_stars(spark):
     rnd = random.Random(5)
     edges = {(max(e), min(e)) for e in ((rnd.randrange(80), rnd.randrange(80)) for _ in range(60)) if e[0] != e[1]} | {(i + 1, i) for i in range(100, 130)}
