@@ -3,8 +3,10 @@
 Each vector's distances to PIVOTS pivots are computed once. By the triangle inequality the largest
 difference of two rows' entries is a lower bound of their distance. Rows are cut into blocks of near rows (by nearest pivot); first each row
 searches its own block, which gives an upper bound of its k-th distance; then it visits only the blocks whose
-per-pivot ranges allow a nearer row. Within a block candidates are evaluated in the order of their bounds,
-and evaluation stops when the next bound exceeds the k-th distance so far. The result is exact.
+per-pivot ranges allow a nearer row. Within a block candidates are evaluated in the order of their bounds, part by part,
+and a row's evaluation stops when the next bound exceeds its k-th distance so far. Where bounds leave more than DENSE of the
+candidates open, a product of matrices takes the place of that order; what it leaves within its rounding, which is bounded
+from the vectors' lengths about their mean, is computed again. The result is exact.
 
 Defined cases: rows with a null id, and vectors that are null, hold a null, NaN or infinite number, or whose
 dimension is not the most frequent one (of equals: the smaller), take no part; rows that repeat an id count once,
@@ -28,6 +30,10 @@ K, PIVOTS, BLOCK_ROWS = 10, 24, 8192
 PIVOT_SAMPLE = 1024
 #: Allowance for rounding in bounds and in products; candidates within it are computed again, exactly.
 SLACK = 1e-5
+#: Share of open candidates above which all distances are computed by a product.
+DENSE = 0.05
+#: Open candidates of a query that are evaluated before its k-th distance is lowered.
+PART = 64
 
 
 def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
@@ -39,10 +45,9 @@ def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
     return x[chosen]
 
 
-def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """By products; within SLACK of the exact ones for vectors of moderate length."""
-    square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T)
-    return np.sqrt(np.maximum(square, 0))
+def apart(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of rows i of x from rows j of y."""
+    return np.concatenate([np.sqrt(((x[i[k : k + 32768]] - y[j[k : k + 32768]]) ** 2).sum(1)) for k in range(0, max(1, len(i)), 32768)])
 
 
 def search(q: np.ndarray, q_ids: np.ndarray, q_table: np.ndarray, limit: np.ndarray, x: np.ndarray, x_ids: np.ndarray, x_table: np.ndarray, k: int, first: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,6 +57,10 @@ def search(q: np.ndarray, q_ids: np.ndarray, q_table: np.ndarray, limit: np.ndar
     slack = SLACK * scale
     q32, x32 = q_table.astype(np.float32), np.ascontiguousarray(x_table.astype(np.float32).T)
     first = max(first, 2 * k)
+    mean = x.mean(0) if len(x) else 0.0
+    about = x - mean
+    square_x = (about * about).sum(1)
+    rounding = 4 * np.finfo(np.float64).eps * (x.shape[1] + 4)
     for lo in range(0, len(q), 64):
         at = slice(lo, lo + 64)
         bound = np.zeros((len(q[at]), len(x)), np.float32)
@@ -69,24 +78,40 @@ def search(q: np.ndarray, q_ids: np.ndarray, q_table: np.ndarray, limit: np.ndar
             d[np.take_along_axis(bound, near, 1) == np.inf] = np.inf
             best = np.minimum(best, np.partition(d, k - 1, axis=1)[:, k - 1])
         open_ = (bound <= (best + slack)[:, None]) & ~same
-        if open_.mean() > 0.05:
-            d = distances(q[at], x)
-            d[~open_] = np.inf
+        if len(x) and open_.mean() > DENSE:
+            centred = q[at] - mean
+            square_q = (centred * centred).sum(1)
+            square = square_q[:, None] + square_x[None] - 2 * (centred @ about.T)
+            square[~open_] = np.inf
+            error = rounding * (np.sqrt(square_q) + np.sqrt(square_x.max())) ** 2
+            if len(x) >= k:
+                best = np.minimum(best, np.sqrt(np.maximum(np.partition(square, k - 1, axis=1)[:, k - 1], 0) + error))
+            rows, cols = np.nonzero((square <= ((best + slack) ** 2 + error)[:, None]) & open_)
         else:
             d = np.full(bound.shape, np.inf)
             rows, cols = np.nonzero(open_)
             order = np.lexsort((bound[rows, cols], rows))
             rows, cols = rows[order], cols[order]
-            for part in range(0, len(rows), 65536):
-                r, c = rows[part : part + 65536], cols[part : part + 65536]
-                go = bound[r, c] <= best[r] + slack
-                r, c = r[go], c[go]
-                d[r, c] = np.sqrt(((q[at][r] - x[c]) ** 2).sum(1))
-        kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1] if d.shape[1] else best
-        rows, cols = np.nonzero(d <= (np.minimum(kth, limit[at]) + slack)[:, None])
-        go = np.isfinite(d[rows, cols])
-        rows, cols = rows[go], cols[go]
-        exact = np.sqrt(((q[at][rows] - x[cols]) ** 2).sum(1))
+            n = np.bincount(rows, minlength=len(best))
+            start = np.cumsum(n) - n
+            top = np.full((len(best), k), np.inf)
+            going = np.flatnonzero(n)
+            for done in range(0, int(n.max(initial=0)), PART):
+                going = going[n[going] > done]
+                going = going[bound[going, cols[start[going] + done]] <= best[going] + slack]
+                if not len(going):
+                    break
+                take = np.minimum(n[going] - done, PART)
+                r = np.repeat(going, take)
+                i = np.arange(len(r)) - np.repeat(np.cumsum(take) - take, take)
+                c = cols[start[r] + done + i]
+                d[r, c] = apart(q[at], x, r, c)
+                new = np.full((len(going), PART), np.inf)
+                new[np.repeat(np.arange(len(going)), take), i] = d[r, c]
+                top[going] = np.partition(np.concatenate([top[going], new], 1), k - 1, axis=1)[:, :k]
+                best[going] = np.minimum(best[going], top[going].max(1))
+            rows, cols = np.nonzero((d <= (best + slack)[:, None]) & np.isfinite(d))
+        exact = apart(q[at], x, rows, cols)
         order = np.lexsort((x_ids[cols], exact, rows))
         rows, cols, exact = rows[order], cols[order], exact[order]
         rank = np.arange(len(rows)) - np.searchsorted(rows, rows)

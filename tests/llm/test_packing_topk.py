@@ -107,6 +107,28 @@ def test_neighbours_against_brute_force(spark, clustered):
     assert got == brute(x, ids, 7)
 
 
+def test_search_stops_at_the_next_bound(monkeypatch):
+    x = np.repeat([100.0, 2.0, 60.0, 5000.0], [64, 20, 100, 9816])[:, None]
+    bound = np.repeat([0.0, 1.0, 50.0, 1000.0], [64, 20, 100, 9816])[:, None]
+    pairs = []
+    apart = topk.apart
+    monkeypatch.setattr(topk, "apart", lambda a, b, i, j: pairs.append(len(i)) or apart(a, b, i, j))
+    _, near, far = topk.search(np.zeros((1, 1)), np.array([-1]), np.zeros((1, 1)), np.array([np.inf]), x, np.arange(len(x)), bound, 10)
+    assert near.tolist() == list(range(64, 74))
+    assert far.tolist() == [2.0] * 10
+    assert sum(pairs[:-1]) == 128
+
+
+def test_search_with_a_large_common_offset():
+    x = np.random.default_rng(4).standard_normal((500, 16)) + 1e6
+    ids = np.arange(500)
+    t = np.sqrt(((x[:, None] - x[None, :4]) ** 2).sum(2))
+    q, near, _ = topk.search(x, ids, t, np.full(500, np.inf), x, ids, t, 10)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    d[ids, ids] = np.inf
+    assert (near.reshape(500, 10) == np.argsort(d, axis=1, kind="stable")[:, :10]).all()
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [3.0, 4.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [1.0]), (None, [0.0, 1.0]), (8, []), (9, [float("inf"), 0.0])]
     df = spark.createDataFrame([(*r, "x", 2.0) for r in rows], "vec_id bigint, embedding array<double>, id string, v double")
