@@ -7,7 +7,8 @@ bytes); its probabilities are the mean over its windows. Because the input is on
 of weights by byte, and tables of two bytes make the convolution a few look-ups.
 
 The network is trained on labelled text of the corpus: at most PER_LANGUAGE documents of each label,
-those with the smallest hashes of their ids, so the sample is the same on every run.
+those with text and the smallest hashes of their ids, so the sample is the same on every run. Of each of them the
+network sees WINDOWS_PER_TEXT windows at random places, half of them cut short; both bounds are parameters of ``train``.
 
 Defined cases: a text that is null, empty or without a letter gets the language ``und`` with
 probability 0 and is rejected, as is one whose best probability is below MIN_PROBABILITY; equal probabilities
@@ -31,6 +32,8 @@ from affinis.llm.common import col, slices, table, utf8
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 #: Bound of the training sample: documents of each label.
 PER_LANGUAGE = 250
+#: Bound of the training sample: windows of each document.
+WINDOWS_PER_TEXT = 6
 MIN_PROBABILITY = 0.4
 UNKNOWN = "und"
 
@@ -149,7 +152,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def training_windows(texts: list[bytes], labels: np.ndarray, seed: int = 7, per_text: int = 6) -> tuple[np.ndarray, np.ndarray]:
+def training_windows(texts: list[bytes], labels: np.ndarray, seed: int = 7, per_text: int = WINDOWS_PER_TEXT) -> tuple[np.ndarray, np.ndarray]:
     """Windows at random places of each text, half of them cut short, so that short texts are learnt too."""
     rng = np.random.default_rng(seed)
     x, y = [], []
@@ -164,20 +167,20 @@ def training_windows(texts: list[bytes], labels: np.ndarray, seed: int = 7, per_
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, text, lang) of at most per_language labelled documents of each language."""
+    """(id, text, lang) of at most per_language labelled documents with text of each language."""
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    usable = F.col("id").isNotNull() & F.col("lang").isNotNull()
+    usable = F.col("id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0)
     ids = rows.where(usable).select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id").distinct()
-    return rows.where(usable & (F.length("text") > 0)).join(F.broadcast(ids), "id", "left_semi")  # at most per_language ids a language
+    return rows.where(usable).join(F.broadcast(ids), "id", "left_semi")  # at most per_language ids a language
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCNN:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", windows_per_text: int = WINDOWS_PER_TEXT) -> ByteCNN:
     got = training_sample(docs, per_language, id_col, text_col, lang_col).toArrow().to_pandas().sort_values(["lang", "id", "text"])
     languages = sorted(set(got["lang"]))
     model = ByteCNN(languages)
     if languages:
-        x, y = training_windows([t.encode("utf-8", "surrogatepass") for t in got["text"]], np.array([languages.index(v) for v in got["lang"]]))
+        x, y = training_windows([t.encode("utf-8", "surrogatepass") for t in got["text"]], np.array([languages.index(v) for v in got["lang"]]), per_text=windows_per_text)
         model.fit(x, y)
     return model
 

@@ -108,3 +108,8 @@ def test_quality_odd_rows(spark):
     assert quality.keep_good(df.limit(0)).count() == 0
     assert quality.script("αβγ") == "GREEK"
     assert quality.script("") == "OTHER"
+
+
+def test_training_sample_skips_empty_texts_before_ranking(spark):
+    df = spark.createDataFrame([(i, "" if i % 2 else None if i % 3 else "some text", "en") for i in range(60)], "doc_id bigint, text string, lang string")
+    assert language_id.training_sample(df, 8).count() == 8
