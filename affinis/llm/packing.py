@@ -1,6 +1,7 @@
 """Best-fit packing with exact-complement hashing.
 
-Documents are measured in words (white space separates them) or by a given length column. What is longer than the
+Documents are measured in words (Unicode white space separates them, as in the other operators; a text of a script
+without spaces is one word) or by a given length column. What is longer than the
 capacity is cut into full pieces and a rest; nothing is truncated. The plan is made on the counts of
 lengths alone, at most ``capacity`` numbers whatever the input: for each length from the longest, the gap it leaves
 is looked up among the available single lengths, pair sums and triple sums, and combinations that fill it
@@ -25,6 +26,8 @@ from affinis.llm.common import col, cut, table
 
 CAPACITY = 2048
 SALTS = 64
+#: A run of what isn't Unicode white space.
+WORD = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]++"
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -116,8 +119,7 @@ def places(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, ...]]:
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """(id, piece, n): the pieces of each document."""
-    words = F.size(F.split(F.trim(F.regexp_replace(col(text_col), r"\s", " ")), " +"))
-    size = col(length_col).cast("bigint") if length_col else F.when(F.trim(F.regexp_replace(col(text_col), r"\s", " ")) != "", words).cast("bigint")
+    size = (col(length_col) if length_col else F.regexp_count(col(text_col), F.lit(WORD))).cast("bigint")
     sized = docs.select(col(id_col).alias("id"), size.alias("size")).where("size > 0")
     piece = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(size - 1) DIV {capacity}")))
     return sized.select("id", "size", piece.alias("piece")).select("id", "piece", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("bigint").alias("n"))

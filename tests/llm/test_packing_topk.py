@@ -85,6 +85,17 @@ def test_packing_of_documents(spark):
     assert {(r.doc_id, r.n_words) for r in packing.pack(sized, 32, length_col="size").collect()} == {(1, 5), (5, 32), (5, 6)}
 
 
+def test_words_between_unicode_spaces(spark):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    assert len(spaces) > 25
+    docs = [(i, s.join(["ab"] * 50)) for i, s in enumerate(spaces)] + [(100, "\u3000\u00a0 "), (101, "a\u200bb")]
+    got = Counter()
+    for r in packing.pieces(spark.createDataFrame(docs, "doc_id bigint, text string"), 32).collect():
+        assert r.n <= 32
+        got[r.id] += r.n
+    assert got == Counter({i: 50 for i in range(len(spaces))} | {101: 1})
+
+
 def brute(x, ids, k):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     out = []
