@@ -26,8 +26,8 @@ from affinis.llm.common import col, cut, table
 
 CAPACITY = 2048
 SALTS = 64
-#: A run of what isn't Unicode white space.
-WORD = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]++"
+#: Unicode white space.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -119,7 +119,8 @@ def places(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, ...]]:
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """(id, piece, n): the pieces of each document."""
-    size = (col(length_col) if length_col else F.regexp_count(col(text_col), F.lit(WORD))).cast("bigint")
+    spaced = F.trim(F.regexp_replace(col(text_col), SPACE, " "))
+    size = col(length_col).cast("bigint") if length_col else F.when(spaced != "", F.size(F.split(spaced, " +"))).cast("bigint")
     sized = docs.select(col(id_col).alias("id"), size.alias("size")).where("size > 0")
     piece = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(size - 1) DIV {capacity}")))
     return sized.select("id", "size", piece.alias("piece")).select("id", "piece", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("bigint").alias("n"))
