@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from affinis.llm import packing, topk
 
@@ -114,30 +115,49 @@ def test_neighbours_against_brute_force(spark, clustered):
     x[10], x[11] = x[12], x[12]
     ids = rng.permutation(260).tolist()
     df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id bigint, embedding array<double>")
-    got = sorted((r.vec_id, r.rank, r.neighbour, round(r.distance, 9)) for r in topk.neighbours(df, k=7, pivots=6, block_rows=40).collect())
-    assert got == brute(x, ids, 7)
-
-
-def test_search_stops_at_the_next_bound(monkeypatch):
+    shape = {"k": 7, "pivots": 6, "block_rows": 40}
+    small = {"chunk": 3, "block_queries": 9}
+    for some, options in ((None, {}),) if clustered else ((F.col("vec_id") % 5 == 0, small),):
+        got = sorted((r.vec_id, r.rank, r.neighbour, round(r.distance, 9)) for r in topk.neighbours(df, queries=some, **shape, **options).collect())
+        assert got == [r for r in brute(x, ids, 7) if some is None or r[0] % 5 == 0]
+    if not clustered:
+        return
+    spent = {r.vec_id: r.evaluated for r in topk.evaluations(df, **shape).collect()}
+    assert sorted(spent) == sorted(ids)
+    assert max(spent.values()) <= 259
+    assert sum(spent.values()) < 260 * 259 / 4
+    text = df.select(F.concat(F.lit("k"), F.col("vec_id").cast("string")).alias("vec_id"), "embedding")
+    assert sorted((r.vec_id, r.rank, r.neighbour) for r in topk.neighbours(text, **shape).collect()) == sorted((f"k{a}", n, f"k{b}") for a, n, b, _ in brute_text(x, ids, 7))
+
+
+def brute_text(x, ids, k):
+    """Ties by the ids as strings."""
+    names = [f"k{i}" for i in ids]
+    return [(int(a[1:]), n, int(b[1:]), d) for a, n, b, d in brute(x, names, k)]
+
+
+def test_search_stops_at_the_next_bound():
     x = np.repeat([100.0, 2.0, 60.0, 5000.0], [64, 20, 100, 9816])[:, None]
-    bound = np.repeat([0.0, 1.0, 50.0, 1000.0], [64, 20, 100, 9816])[:, None]
-    pairs = []
-    apart = topk.apart
-    monkeypatch.setattr(topk, "apart", lambda a, b, i, j: pairs.append(len(i)) or apart(a, b, i, j))
-    _, near, far = topk.search(np.zeros((1, 1)), np.array([-1]), np.zeros((1, 1)), np.array([np.inf]), x, np.arange(len(x)), bound, 10)
+    bound = np.repeat([0.0, 1.0, 50.0, 1000.0], [64, 20, 100, 9816])[None]
+    near, far, spent = topk.search(np.zeros(1), np.zeros(1), np.zeros(0, int), np.inf, x, bound, 10)
     assert near.tolist() == list(range(64, 74))
     assert far.tolist() == [2.0] * 10
-    assert sum(pairs[:-1]) == 128
+    assert spent == 64 + 20 + 100
+    near, far, spent = topk.search(np.zeros(1), np.zeros(1), np.arange(64, 70), 2.0, x, bound, 10)
+    assert near.tolist() == list(range(70, 80))
+    assert spent == 64 + 14
+    assert topk.search(np.zeros(1), np.zeros(1), np.zeros(0, int), 1.5, x, bound, 10)[0].tolist() == []
 
 
 def test_search_with_a_large_common_offset():
     x = np.random.default_rng(4).standard_normal((500, 16)) + 1e6
     ids = np.arange(500)
     t = np.sqrt(((x[:, None] - x[None, :4]) ** 2).sum(2))
-    q, near, _ = topk.search(x, ids, t, np.full(500, np.inf), x, ids, t, 10)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     d[ids, ids] = np.inf
-    assert (near.reshape(500, 10) == np.argsort(d, axis=1, kind="stable")[:, :10]).all()
+    for i in range(0, 500, 7):
+        near, _, _ = topk.search(x[i], t[i], np.array([i]), np.inf, x, np.ascontiguousarray(t.T), 10)
+        assert (near == np.argsort(d[i], kind="stable")[:10]).all()
 
 
 def test_neighbours_odd_rows(spark):
