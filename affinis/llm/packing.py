@@ -3,14 +3,14 @@
 Documents are measured in words (Unicode white space separates them, as in the other operators; a text of a script
 without spaces is one word) or by a given length column. What is longer than the
 capacity is cut into full pieces and a rest; nothing is truncated. The plan is made on the counts of
-lengths alone, at most ``capacity`` numbers whatever the input: for each length from the longest, the gap it leaves
-is looked up among the available single lengths, pair sums and triple sums, and combinations that fill it
+lengths alone, at most ``capacity`` numbers whatever the input: an index holds which sums single lengths, pairs and triples of
+available lengths have; for each length from the longest, the gap it leaves is looked up in the three, and combinations that fill it
 exactly are consumed in bulk under the availability counts; what remains goes by best fit decreasing, in bulk
 too. The plan is a short list of patterns with multiplicities; pieces are ranked within their length
-(in salted groups, so that no length is one task's work) and a rank's place in the plan gives bin and offset.
+(in salted groups of about SALT_ROWS, so that no length is one task's work) and a rank's place in the plan gives bin and offset.
 
 Defined cases: a null, empty or blank text has no piece and no row; a null or non-positive given length likewise; a null id is carried; equal lengths are
-ranked by id and piece, so the result is the same on every run (identical rows may swap places); repeated rows are packed each; an empty table gives no rows; other columns are not read.
+ranked by salt, id and piece, so the result is the same on every run (identical rows may swap places); repeated rows are packed each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,71 +25,141 @@ from pyspark.sql import functions as F
 from affinis.llm.common import col, cut, table
 
 CAPACITY = 2048
-SALTS = 64
+#: Pieces of one length that one task ranks, about.
+SALT_ROWS = 1 << 20
 #: Unicode white space.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 Pattern = tuple[tuple[int, ...], int]
 
 
+def bit_set(flags: np.ndarray) -> int:
+    """Bit i is set where flags[i]."""
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+def sums(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """Whether some i of a and j of b have the sum s, for s up to limit."""
+    size = 2 * limit + 2
+    return np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b, size), size)[: limit + 1] > 0.5
+
+
+class SumIndex:
+    """The sums up to ``capacity`` of one, two and three available lengths, as sets of bits.
+
+    Lengths only run out, so an entry is never missing; one whose combinations are all gone is found to be stale
+    when it is looked up, and struck out. A look-up is a few operations on sets of capacity bits.
+    """
+
+    def __init__(self, avail: np.ndarray):
+        self.avail, self.capacity = avail, len(avail) - 1
+        one = avail > 0
+        two = sums(one, one, self.capacity)
+        three = sums(two, one, self.capacity)
+        self.one, self.three = bit_set(one), bit_set(three)
+        # Mirrored: bit capacity - s.
+        self.one_back, self.two_back = bit_set(one[::-1]), bit_set(two[::-1])
+
+    def use(self, length: int, n: int) -> None:
+        self.avail[length] -= n
+        if not self.avail[length]:
+            self.one &= ~(1 << length)
+            self.one_back &= ~(1 << self.capacity - length)
+
+    def pairs(self, total: int) -> Iterator[tuple[int, int]]:
+        """(larger, smaller) available lengths with this sum, the longest first."""
+        if not self.two_back >> self.capacity - total & 1:
+            return
+        both = self.one & (self.one_back >> self.capacity - total)
+        if not both:
+            self.two_back &= ~(1 << self.capacity - total)
+        while both:
+            a = both.bit_length() - 1
+            if 2 * a < total:
+                return
+            yield a, total - a
+            both &= (1 << a) - 1
+
+    def triples(self, total: int) -> Iterator[tuple[int, int, int]]:
+        """Available lengths with this sum, in falling order, the longest first."""
+        if not self.three >> total & 1:
+            return
+        firsts = self.one & (self.two_back >> self.capacity - total)
+        stale = True
+        while firsts:
+            a = firsts.bit_length() - 1
+            for b, c in self.pairs(total - a):
+                stale = False
+                if b <= a:
+                    yield a, b, c
+            firsts &= (1 << a) - 1
+            if 3 * a < total:
+                break
+        if stale:
+            self.three &= ~(1 << total)
+
+
 def exact_fills(avail: np.ndarray, capacity: int) -> list[Pattern]:
     """Patterns of up to four lengths that fill a bin exactly; consumes avail (by length)."""
     out: list[Pattern] = []
+    index = SumIndex(avail)
 
     def take(*lengths: int) -> None:
-        times = min(int(avail[x]) // lengths.count(x) for x in set(lengths))
+        times = min(int(avail[x]) // lengths.count(x) for x in lengths)
         if times > 0:
             for x in lengths:
-                avail[x] -= times
+                index.use(x, times)
             out.append((lengths, times))
 
-    def pairs(total: int, top: int) -> np.ndarray:
-        """Larger halves, at most top, of the available pairs with this sum, longest first."""
-        a = np.arange(min(top, total - 1), (total - 1) // 2, -1)
-        return a[(avail[a] > 0) & (avail[total - a] > 0)] if len(a) else a
+    def fill(length: int, gap: int, found: Iterator[tuple[int, ...]]) -> bool:
+        """Consume combinations; whether one was taken, so that the look-up has to start again."""
+        for lengths in found:
+            before = len(out)
+            take(length, *lengths)
+            if len(out) > before:
+                return avail[length] > 0
+        return False
 
     if avail[capacity]:
         take(capacity)
-    for length in range(capacity - 1, 0, -1):
+    while index.one:
+        length = index.one.bit_length() - 1
         gap = capacity - length
-        if avail[length] and gap <= length and avail[gap]:
+        if gap and gap <= length and avail[gap]:
             take(length, gap)
-        if avail[length]:
-            for a in pairs(gap, length).tolist():
-                take(length, a, gap - a)
-                if not avail[length]:
-                    break
-        if avail[length] and gap > 2:
-            a_all = np.arange(min(length, gap - 2), (gap + 2) // 3 - 1, -1)
-            for a in a_all[avail[a_all] > 0].tolist():
-                for b in pairs(gap - a, a).tolist():
-                    take(length, a, b, gap - a - b)
-                    if not avail[length]:
-                        break
-                if not avail[length]:
-                    break
+        while avail[length] and gap > 1 and fill(length, gap, index.pairs(gap)):
+            pass
+        while avail[length] and gap > 2 and fill(length, gap, index.triples(gap)):
+            pass
+        # What is left of this length takes part in no exact fill any more.
+        index.one &= ~(1 << length)
+        index.one_back &= ~(1 << capacity - length)
     return out
 
 
 def best_fit(avail: np.ndarray, capacity: int) -> list[Pattern]:
     """Best fit decreasing of what is left, equal pieces in bulk; consumes avail."""
     room: dict[int, list[Pattern]] = {}
-    for length in range(capacity, 0, -1):
+    rooms = 0  # bit r: bins with r free
+    for length in np.flatnonzero(avail)[::-1].tolist():
         n = int(avail[length])
         avail[length] = 0
-        for r in [x for x in sorted(room) if x >= length] + [capacity]:
-            while n and (r == capacity or room.get(r)):
-                pattern, bins = room[r].pop() if r < capacity else ((), n)
-                each = min(r // length, n)
-                used = min(bins, n // each)
-                n -= used * each
-                if r < capacity and used < bins:
+        seen = length
+        while n:
+            fits = rooms >> seen
+            r = seen + (fits & -fits).bit_length() - 1 if fits else capacity
+            pattern, bins = room[r].pop() if r < capacity else ((), n)
+            each = min(r // length, n)
+            used = min(bins, n // each)
+            n -= used * each
+            if r < capacity:
+                if used < bins:
                     room[r].append((pattern, bins - used))
-                room.setdefault(r - each * length, []).append((pattern + (length,) * each, used))
-            if not room.get(r, True):
-                del room[r]
-            if not n:
-                break
+                if not room[r]:
+                    rooms &= ~(1 << r)
+            left = r - each * length
+            room.setdefault(left, []).append((pattern + (length,) * each, used))
+            rooms |= 1 << left
     return [p for r in sorted(room) for p in room[r]]
 
 
@@ -126,30 +196,31 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
     return sized.select("id", "size", piece.alias("piece")).select("id", "piece", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("bigint").alias("n"))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, salt_rows: int = SALT_ROWS) -> DataFrame:
     """(bin_id, slot, offset, id, piece, start, n_words): each piece's bin, its place there, and the words of its document that it holds."""
-    items = cut(pieces(docs, capacity, id_col, text_col, length_col).withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS))))
-    # At most capacity x SALTS rows, whatever the input.
-    groups = items.groupBy("n", "salt").agg(F.count("*").alias("k")).toArrow().to_pandas().sort_values(["n", "salt"])
-    before = dict(zip(zip(groups["n"], groups["salt"], strict=True), groups.groupby("n")["k"].cumsum() - groups["k"], strict=True))
-    runs = places(plan(groups.groupby("n")["k"].sum().to_dict(), capacity))
+    items = cut(pieces(docs, capacity, id_col, text_col, length_col))
+    counts = items.groupBy("n").agg(F.count("*").alias("k"))
+    runs = places(plan({r["n"]: r["k"] for r in counts.collect()}, capacity))  # at most capacity rows
+    salts = counts.select("n", F.ceil(F.col("k") / salt_rows).cast("bigint").alias("salts"))
+    salted = items.join(F.broadcast(salts), "n").withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.col("salts")))  # at most capacity rows
+    # A row for each length and each salt_rows pieces.
+    groups = salted.groupBy("n", "salt").agg(F.count("*").alias("k"))
+    before = groups.select("n", "salt", (F.sum("k").over(Window.partitionBy("n").orderBy("salt")) - F.col("k")).alias("before"))
     kind = dict(items.dtypes)["id"]
     rank = F.row_number().over(Window.partitionBy("n", "salt").orderBy("id", "piece"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, salt, r, piece = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3, 4))
-            key, at = np.unique(n * SALTS + salt, return_inverse=True)
-            r = r - 1 + np.array([before[k // SALTS, k % SALTS] for k in key.tolist()], np.int64)[at] if len(n) else r
+            n, r, piece = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3))
             out = np.empty((3, len(n)), np.int64)
             for length in np.unique(n).tolist():
                 rows = np.flatnonzero(n == length)
                 first, bins, slot, offset = runs[length]
                 k = np.searchsorted(first, r[rows], side="right") - 1
                 out[:, rows] = bins[k] + r[rows] - first[k], slot[k], offset[k]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, out), batch.column(0), batch.column(4), pa.array(piece * capacity), batch.column(1)], names=["bin_id", "slot", "offset", id_col, "piece", "start", "n_words"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out), batch.column(0), batch.column(3), pa.array(piece * capacity), batch.column(1)], names=["bin_id", "slot", "offset", id_col, "piece", "start", "n_words"])
 
-    ranked = items.withColumn("r", rank).select("id", "n", "salt", "r", "piece")
+    ranked = salted.withColumn("r", rank).join(before, ["n", "salt"]).select("id", "n", (F.col("before") + F.col("r") - 1).alias("r"), "piece")
     return ranked.mapInArrow(assign, f"bin_id bigint, slot bigint, offset bigint, `{id_col}` {kind}, piece bigint, start bigint, n_words bigint")
 
 

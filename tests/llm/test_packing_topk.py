@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -56,6 +57,52 @@ def test_plan_uses_every_piece_once_and_leaves_no_exact_fill(seed):
     assert used == counts
 
 
+def test_plan_of_a_long_context_is_quick():
+    rng = np.random.default_rng(3)
+    capacity = 32768
+    natural = Counter(np.minimum(capacity, rng.pareto(1.2, 200000) * 300 + 1).astype(int).tolist())
+    for counts, size in ((natural, capacity), (dict.fromkeys(range(2, capacity - 1, 2), 3), capacity - 1), (dict.fromkeys(range(1, capacity), 1), capacity)):
+        began = time.process_time()
+        patterns = packing.plan(dict(counts), size)
+        assert time.process_time() - began < 60
+        used = Counter()
+        for p, m in patterns:
+            assert sum(p) <= size
+            for x in p:
+                used[x] += m
+        assert used == Counter(counts)
+
+
+def test_index_of_sums():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        capacity = int(rng.integers(5, 40))
+        avail = rng.integers(0, 2, capacity + 1) * rng.integers(0, 3, capacity + 1)
+        avail[0] = 0
+        index, have = packing.SumIndex(avail), set(np.flatnonzero(avail).tolist())
+        for total in range(1, capacity + 1):
+            assert set(index.pairs(total)) == {(a, total - a) for a in have if total - a in have and 2 * a >= total}
+            assert set(index.triples(total)) == {(a, b, total - a - b) for a in have for b in have if total - a - b in have and a >= b >= total - a - b}
+
+
+def test_packing_with_salts(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, 20).otherwise(F.col("id") % 31 + 1).alias("size"))
+    rows = packing.pack(df, 32, length_col="size", salt_rows=50).collect()
+    assert len(rows) == 3000
+    assert len({(r.bin_id, r.slot) for r in rows}) == 3000
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.bin_id].append((r.slot, r.offset, r.n_words))
+    for b in bins.values():
+        at = 0
+        for slot, offset, n in sorted(b):
+            assert offset == at
+            at += n
+        assert at <= 32
+    whole = packing.pack(df, 32, length_col="size")
+    assert whole.select("bin_id").distinct().count() == len(bins)
+
+
 def test_packing_of_documents(spark):
     rnd = random.Random(9)
     docs = [(i, " ".join(["w"] * rnd.randrange(0, 90))) for i in range(200)]
