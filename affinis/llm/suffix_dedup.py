@@ -4,15 +4,16 @@ A passage repeats where the same LENGTH words (separated by white space, compare
 two places of the corpus. Only suffixes that can be part of one are sorted: every run of LENGTH words has
 one anchor, the leftmost of its GRAM-word runs with the least hash, and equal runs have equal anchors, so a run whose anchor's
 hash occurs once in the corpus cannot repeat. The suffixes of the remaining anchors are
-range-partitioned by their anchors' leading tokens, with splitters that Spark samples; each bucket
-sorts its suffixes with multikey quicksort, level by level over numpy arrays, down to LENGTH tokens. Buckets
-are cut between whole leading-token keys, so two suffixes on different sides of a boundary differ
-within their first two tokens; what is equal meets in one bucket.
+range-partitioned by their anchors' leading tokens and, among equal ones, by a hash of document and place. The splitters are
+quantiles of a sample of these keys; because they may fall between equal leading tokens, a popular passage is the work of as many tasks
+as it is long. Each bucket sorts its suffixes with multikey quicksort, level by level over numpy arrays, down to
+LENGTH tokens. Runs of the leading tokens that a bucket begins or ends with may go on beyond the boundary: of
+each of their local groups the least occurrence is compared, token by token, with those of the other buckets.
 
 The occurrence with the least (id, place) is the first; the others are later ones.
 
 Defined cases: null, empty and short texts (under LENGTH words) have no passage; rows with a null
-id take no part and stay as they are; rows that repeat an id are occurrences at the same places, which count
+id take no part and stay as they are; ids may be numbers or strings; rows that repeat an id are occurrences at the same places, which count
 once; passages may overlap and may repeat within one document; texts are read whole, however long; an
 empty table gives an empty result; other columns are carried through by the filter and not read
 otherwise, except that ``n_chars``, if there, is set for texts that lose words. A document whose words all go is dropped.
@@ -30,9 +31,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinis.llm.bpe import byte_hash, mix
-from affinis.llm.common import col, slices, table, utf8
+from affinis.llm.common import col, cut, slices, table, utf8
 
 LENGTH, GRAM = 50, 26
+#: Anchors of a bucket, on average, and keys that are sampled for each.
+BUCKET_ROWS, SAMPLE = 65536, 16
+#: Beyond this number buckets grow instead; it bounds the sample of keys, which affects the buckets' sizes only.
+MOST_BUCKETS = 1 << 17
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -143,15 +148,90 @@ def equal_runs(flat: np.ndarray, start: np.ndarray, length: int) -> tuple[np.nda
     return (np.concatenate(done), np.concatenate(group)) if done else (empty, empty)
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def leading(short: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The two tokens at each place as one number."""
+    return (short[at].astype(np.int64) << 31) ^ (short[at + 1].astype(np.int64) >> 1)
+
+
+def tie(salt: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What orders suffixes with equal leading tokens among the buckets."""
+    return (mix(salt.view(np.uint64) + at.astype(np.uint64) * np.uint64(BASE)) >> np.uint64(33)).astype(np.int64)
+
+
+def bucket_of(splitters: np.ndarray, lead: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """The number of splitters, sorted (lead, tie) pairs, that are not above each key."""
+    low, high = np.searchsorted(splitters["lead"], lead, "left"), np.searchsorted(splitters["lead"], lead, "right")
+    out = low.copy()
+    split = np.flatnonzero(low < high)
+    split = split[np.argsort(low[split], kind="stable")]
+    for rows in np.split(split, np.flatnonzero(np.diff(low[split])) + 1) if len(split) else []:  # those of one splitter's leading tokens
+        lo, hi = low[rows[0]], high[rows[0]]
+        out[rows] = lo + np.searchsorted(splitters["tie"][lo:hi], ties[rows], "right")
+    return out
+
+
+def rows_of_groups(group: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Sorts groups of occurrences by (group, doc, place) and leaves out repeated ones; the rows that stay, in order."""
+    order = np.lexsort((place, doc, group))
+    g, d, p = group[order], doc[order], place[order]
+    return order[np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1]))[: len(order)]]
+
+
+def solve_bucket(bucket: pa.Table, length: int, whole: bool = False) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Of one bucket: (id, first, last, later), what it can tell alone, and (run, id, place, alone), what needs the other buckets.
+
+    bucket: (lead, id, first, context). whole: there are no other buckets.
+    """
+    raw, off = utf8(bucket["context"])
+    flat, off = raw.view(np.uint32) if raw.flags.aligned else np.frombuffer(raw.tobytes(), np.uint32), off // 4
+    ids, first, lead = bucket["id"].combine_chunks(), bucket["first"].to_numpy().astype(np.int64), bucket["lead"].to_numpy()
+    known, code = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)
+    n = np.diff(off) - length + 1
+    row = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = off[row] + step
+    doc, place = code[row], first[row] + step
+    which, group = equal_runs(flat, start, length)
+    lonely = np.ones(len(row), bool)
+    lonely[which] = False
+    edge = np.zeros(len(row), bool) if whole else ((lead == lead.min()) | (lead == lead.max()))[row]
+    stay = rows_of_groups(group, doc[which], place[which])
+    which, group = which[stay], group[stay]
+    head = np.append(True, group[1:] != group[:-1])[: len(group)]
+    alone = head & np.append(head[1:], True)[: len(group)]
+    # Of a group at the edge all but the least occurrence are later ones whatever the other buckets hold.
+    at_edge = edge[which]
+    least, lonely = which[at_edge & head], np.flatnonzero(lonely & edge)
+    open_ = np.append(least, lonely)
+    single = np.append(alone[at_edge & head], np.ones(len(lonely), bool))
+    body = flat[(start[open_][:, None] + np.arange(length)).ravel()]
+    runs = pa.Array.from_buffers(pa.binary(), len(open_), [None, pa.py_buffer((np.arange(len(open_) + 1) * 4 * length).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))])
+    names = pa.array(known, ids.type)
+    asked = pa.RecordBatch.from_arrays([runs, names.take(pa.array(doc[open_])), pa.array(place[open_]), pa.array(single)], names=["run", "id", "place", "alone"])
+    told = ~alone & ~(at_edge & head)
+    which, later = which[told], ~head[told]
+    doc, place = doc[which], place[which]
+    order = np.lexsort((place, later, doc))
+    doc, place, later = doc[order], place[order], later[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (later[1:] != later[:-1]) | (place[1:] > place[:-1] + 1))[: len(doc)]
+    at = np.flatnonzero(new)
+    last = place[np.append(at[1:], len(place)) - 1] if len(at) else place
+    return pa.RecordBatch.from_arrays([names.take(pa.array(doc[at])), pa.array(place[at]), pa.array(last), pa.array(later[at])], names=["id", "first", "last", "later"]), asked
+
+
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id, first, last, later): ranges of the places where repeated runs of length words start; later: not the first occurrence."""
-    rows = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"), F.xxhash64(col(id_col)).alias("salt")).where("id IS NOT NULL AND text IS NOT NULL")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, whole.column(1)):
-                text, _, h, _, _ = anchors(*tokens(batch.column(1)), length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(text))], names=["h", "id"])
+                t, offsets = tokens(batch.column(1))
+                text, at, h, _, _ = anchors(t, offsets, length, gram)
+                salt = batch.column(2).to_numpy()[text]
+                lead = leading((t >> np.uint64(32)).astype(np.uint32), offsets[text] + at)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(lead), pa.array(tie(salt, at))], names=["h", "id", "lead", "tie"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -160,12 +240,20 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             _, at, count = np.unique(rows["h"].to_numpy(), return_inverse=True, return_counts=True)
             yield from rows.filter(pa.array(count[at] > 1)).to_batches()
 
+    shared = cut(rows.mapInArrow(find, f"h bigint, id {kind}, lead bigint, tie bigint").repartition("h").mapInArrow(repeated, f"h bigint, id {kind}, lead bigint, tie bigint"))
+    total = shared.count()
+    buckets = min(MOST_BUCKETS, max(1, -(-total // bucket_rows)))
+    # About SAMPLE keys a bucket.
+    sample = shared.where(F.pmod(F.xxhash64("tie", "lead", "h"), F.lit(max(1, total // (SAMPLE * buckets)))) == 0).select("lead", "tie").orderBy("lead", "tie").toArrow() if buckets > 1 else None
+    edges = np.unique(np.arange(1, buckets) * len(sample) // buckets) if sample else np.zeros(0, np.int64)
+    splitters = {name: sample[name].to_numpy()[edges] if sample else np.zeros(0, np.int64) for name in ("lead", "tie")}
+
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, whole.column(1)):
                 t, offsets = tokens(batch.column(1))
                 text, at, h, first, last = anchors(t, offsets, length, gram)
-                wanted = batch.column(2)
+                wanted = batch.column(3)
                 edges = np.cumsum(np.append(0, pc.list_value_length(wanted).to_numpy(zero_copy_only=False)))
                 owner = np.repeat(np.arange(len(wanted)), np.diff(edges))
                 list_h = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
@@ -174,52 +262,40 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 text, at, first, last = text[keep], at[keep], first[keep], last[keep]
                 short = (t >> np.uint64(32)).astype(np.uint32)
                 base = offsets[text]
-                lead = (short[base + at].astype(np.int64) << 31) ^ (short[base + at + 1].astype(np.int64) >> 1)
+                lead = leading(short, base + at)
+                bucket = bucket_of(splitters, lead, tie(batch.column(2).to_numpy()[text], at))
                 size = last - first + length
                 cum = np.cumsum(np.append(0, size))
                 body = short[np.repeat(base + first - cum[:-1], size) + np.arange(cum[-1])]
                 context = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((cum * 4).astype(np.int32)), pa.py_buffer(body)])
-                yield pa.RecordBatch.from_arrays([pa.array(lead), batch.column(0).take(pa.array(text)), pa.array(first.astype(np.int32)), context], names=["lead", "id", "first", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(lead), batch.column(0).take(pa.array(text)), pa.array(first.astype(np.int32)), context], names=["bucket", "lead", "id", "first", "context"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        bucket = pa.Table.from_batches(got)
-        raw, off = utf8(bucket["context"])
-        flat, off = raw.view(np.uint32) if raw.flags.aligned else np.frombuffer(raw.tobytes(), np.uint32), off // 4
-        ids, first = bucket["id"].to_numpy(), bucket["first"].to_numpy().astype(np.int64)
-        n = np.diff(off) - length + 1
-        row = np.repeat(np.arange(len(n)), n)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        which, group = equal_runs(flat, off[row] + step, length)
-        doc, place = ids[row[which]], first[row[which]] + step[which]
-        order = np.lexsort((place, doc, group))
-        doc, place, group = doc[order], place[order], group[order]
-        fresh = np.append(True, (group[1:] != group[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))[: len(group)]
-        doc, place, group = doc[fresh], place[fresh], group[fresh]
-        if not len(group):
-            return
-        head = np.append(True, group[1:] != group[:-1])
-        alone = head & np.append(head[1:], True)
-        doc, place, later = doc[~alone], place[~alone], ~head[~alone]
-        if not len(doc):
-            return
-        order = np.lexsort((place, later, doc))
-        doc, place, later = doc[order], place[order], later[order]
-        cut = np.append(True, (doc[1:] != doc[:-1]) | (later[1:] != later[:-1]) | (place[1:] != place[:-1] + 1))
-        at = np.flatnonzero(cut)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(place[at]), pa.array(place[np.append(at[1:], len(place)) - 1]), pa.array(later[at])], names=["id", "first", "last", "later"])
+        told, asked = solve_bucket(pa.Table.from_batches(got), length, buckets == 1)
+        empty = lambda n, *types: [pa.nulls(n, x) for x in types]
+        names = ["id", "first", "last", "later", "run", "alone"]
+        yield pa.RecordBatch.from_arrays([*told.columns, *empty(len(told), pa.binary(), pa.bool_())], names=names)
+        yield pa.RecordBatch.from_arrays([asked.column(1), asked.column(2), *empty(len(asked), pa.int64(), pa.bool_()), asked.column(0), asked.column(3)], names=names)
 
-    shared = rows.mapInArrow(find, "h bigint, id bigint").repartition("h").mapInArrow(repeated, "h bigint, id bigint")
     wanted = shared.groupBy("id").agg(F.collect_set("h").alias("hashes"))
-    chosen = rows.join(wanted, "id").select("id", "text", "hashes").mapInArrow(suffixes, "lead bigint, id bigint, first int, context binary")
-    return chosen.repartitionByRange("lead").mapInArrow(sort, "id bigint, first bigint, last bigint, later boolean")
-
-
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    chosen = rows.join(wanted, "id").select("id", "text", "salt", "hashes").mapInArrow(suffixes, f"bucket int, lead bigint, id {kind}, first int, context binary")
+    solved = chosen.repartitionById(buckets, "bucket").mapInArrow(sort, f"id {kind}, first bigint, last bigint, later boolean, run binary, alone boolean")
+    if buckets == 1:
+        return solved.select("id", "first", "last", "later")
+    solved = cut(solved)
+    # Few rows: a bucket has at most one of each run at its edges.
+    run = Window.partitionBy("run")
+    met = solved.where("run IS NOT NULL").groupBy("run", "id", "first").agg(F.min("alone").alias("alone"))
+    met = met.withColumn("n", F.count("*").over(run)).withColumn("rank", F.row_number().over(run.orderBy("id", "first"))).where("n > 1 OR NOT alone")
+    return solved.where("run IS NULL").select("id", "first", "last", "later").unionByName(met.select("id", "first", F.col("first").alias("last"), (F.col("rank") > 1).alias("later")))
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id, start, end, n_words, later): the words (from start, before end) of each document in repeated passages; first and later occurrences apart."""
-    found = occurrences(docs, id_col, text_col, length, gram).select("id", "later", "first", (F.col("last") + length).alias("end"))
+    found = occurrences(docs, id_col, text_col, length, gram, bucket_rows).select("id", "later", "first", (F.col("last") + length).alias("end"))
     at = Window.partitionBy("id", "later").orderBy("first", "end")
     before = F.max("end").over(at.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("new", F.coalesce((F.col("first") > before).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(at.rowsBetween(Window.unboundedPreceding, 0)))
@@ -250,9 +326,9 @@ def _words(text: str) -> Iterator[tuple[int, int]]:
         at += len(word)
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs without the words of later occurrences; documents left without a word are dropped."""
-    later = spans(docs, id_col, text_col, length, gram).where("later").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("\x00gone"))
+    later = spans(docs, id_col, text_col, length, gram, bucket_rows).where("later").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("\x00gone"))
     later = later.withColumnRenamed("id", "\x00id")
     at = docs.columns.index(text_col)
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
@@ -280,7 +356,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays(columns, names=docs_names)
 
     docs_names = docs.columns
-    joined = docs.join(later, docs[f"`{id_col}`"].cast("bigint") == F.col("`\x00id`"), "left").drop("\x00id")
+    joined = docs.join(later, docs[f"`{id_col}`"] == F.col("`\x00id`"), "left").drop("\x00id")
     return joined.mapInArrow(run, schema)
 
 

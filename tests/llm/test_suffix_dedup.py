@@ -55,9 +55,9 @@ def corpus():
 def test_spans_against_brute_force(spark):
     docs = corpus()
     df = spark.createDataFrame([(*r, "x", 1, 2) for r in docs], "doc_id bigint, text string, h string, lead int, id int")
-    for length, gram in ((50, 26), (12, 5)):
+    for length, gram, bucket_rows in ((50, 26, 65536), (12, 5, 65536), (50, 26, 9), (12, 5, 40)):
         got = defaultdict(set)
-        for r in sd.spans(df, length=length, gram=gram).collect():
+        for r in sd.spans(df, length=length, gram=gram, bucket_rows=bucket_rows).collect():
             assert not got[r.id, r.later] & set(range(r.start, r.end))
             assert r.n_words == r.end - r.start
             got[r.id, r.later] |= set(range(r.start, r.end))
@@ -65,6 +65,28 @@ def test_spans_against_brute_force(spark):
     assert sd.spans(df.limit(0)).count() == 0
 
 
+def test_equal_run_on_every_boundary(spark):
+    """One passage in two thirds of the documents, with buckets of a few anchors: all of its runs cross boundaries."""
+    rnd = random.Random(8)
+    passage = [f"p{i}" for i in range(70)]
+    docs = [(f"d{d:03}", " ".join([f"a{rnd.randrange(9999)}" for _ in range(30)] + (passage if d % 3 else [f"b{d}.{i}" for i in range(60)]))) for d in range(90)]
+    docs += [("d200", docs[0][1]), (None, docs[1][1])]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    for bucket_rows in (2, 5, 17):
+        got = defaultdict(set)
+        for r in sd.spans(df, bucket_rows=bucket_rows).collect():
+            got[r.id, r.later] |= set(range(r.start, r.end))
+        assert got == brute(docs, 50)
+
+
+def test_buckets():
+    rng = np.random.default_rng(1)
+    keys = np.sort(np.rec.fromarrays([rng.integers(0, 4, 60), rng.integers(0, 50, 60)], names=["lead", "tie"]))
+    lead, ties = rng.integers(-1, 6, 500), rng.integers(0, 50, 500)
+    want = [sum((a, b) <= (x, y) for a, b in keys.tolist()) for x, y in zip(lead.tolist(), ties.tolist(), strict=True)]
+    assert sd.bucket_of({"lead": keys["lead"], "tie": keys["tie"]}, lead, ties).tolist() == want
+
+
 def test_drop_repeats(spark):
     docs = corpus()
     df = spark.createDataFrame([(d, t, len(t or ""), "x") for d, t in docs], "doc_id bigint, text string, n_chars bigint, id string")
