@@ -10,7 +10,12 @@ element whose ``display`` is ``none`` by the cascade of its ``style`` and the pa
 read, and for which screen), of one with ``hidden`` or a ``dialog`` that isn't open unless the cascade shows it, or of a closed
 ``details`` but its summary; ``visibility: hidden`` is inherited and may be undone below. Of SVG the ``text`` elements (a line
 each) and ``foreignObject`` are seen, of MathML all but annotations and phantoms, parts of fractions, scripts and rows
-separated by spaces; text that only ``use`` would draw isn't.
+separated by spaces; text that only ``use`` would draw isn't. Input elements show their value, or else their placeholder, but passwords;
+of a ``select`` all options are listed; what stands within an ``object`` is seen if it names no data. ``display`` may make a block of an inline
+element, or the reverse.
+
+Tables: a cell stands below the cells of its column, whatever spans of columns and rows go before it; a cell's lines begin in
+its first row; a span that is longer than its columns widens the last of them.
 
 Defined cases: a null page gives a null text; an empty page, or one without visible text, an empty text; broken
 markup gives the text that the rules above yield, never an error; unclosed elements end with their parent; pages are
@@ -23,6 +28,7 @@ from __future__ import annotations
 import html
 import re
 import sys
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,13 +41,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset(("title", "textarea"))
 HEAD = frozenset("base basefont bgsound link meta title script style noscript template noframes".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas area param source track".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes datalist audio video canvas area param source track".split())
 #: Unseen within svg or math.
 FOREIGN_UNSEEN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom mprescripts".split())
 #: MathML elements whose parts stand beside or above one another.
 APART = frozenset("mfrac msup msub msubsup mroot munder mover munderover mmultiscripts mtr mlabeledtr".split())
 #: Start tags that end svg and math, unless one of INTEGRATION is open within.
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+FOREIGN = frozenset(("svg", "math"))
 INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr menu fieldset".split())
 BLOCK = MARGIN | frozenset(
@@ -62,6 +69,12 @@ ENDS = {
 }
 #: What means nothing outside a table.
 PARTS = frozenset(("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup", "col"))
+#: Input elements whose value, or else placeholder, is shown as text.
+TYPED = frozenset(("", "text", "search", "email", "url", "tel", "number", "date", "time", "datetime-local", "month", "week", "submit", "reset", "button"))
+INPUTS = TYPED | frozenset(("password", "hidden", "checkbox", "radio", "file", "range", "color", "image"))
+#: Values of display that make a block, or none.
+AS_BLOCK = frozenset(("block", "flex", "grid", "list-item", "flow-root"))
+AS_INLINE = frozenset(("inline", "inline-block", "inline-flex", "inline-grid", "contents"))
 SCOPE = frozenset(("table", "td", "th", "caption", "button", "template"))
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
@@ -89,42 +102,43 @@ class Builder:
     def __init__(self) -> None:
         self.root = Node("html", {})
         self.open = [self.root]
-        self.count = {"html": 1}
+        #: Places in ``open`` by tag, so that no look-up walks the open elements.
+        self.at: dict[str, list[int]] = {"html": [0]}
         self.css: list[tuple[str, str]] = []
 
     def push(self, tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs, self.open[-1])
         self.open[-1].kids.append(node)
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append(node)
-        self.count[tag] = self.count.get(tag, 0) + 1
 
     def pop(self) -> None:
-        self.count[self.open.pop().tag] -= 1
+        self.at[self.open.pop().tag].pop()
+
+    def innermost(self, tags: frozenset[str] | set[str], but: frozenset[str] | set[str] = frozenset()) -> int:
+        """Place of the innermost open element of these tags; 0: none."""
+        return max((p[-1] for t in tags if (p := self.at.get(t)) and t not in but), default=0)
 
     def close(self, ends: frozenset[str] | set[str], stop: frozenset[str], all_of_them: bool = False) -> bool:
         """End the innermost (or all_of_them: the outermost) open element of ends that no element of stop encloses."""
-        if not any(self.count.get(t) for t in ends):
-            return False
-        hit = 0
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in ends:
-                hit = k
-                if not all_of_them:
-                    break
-            elif self.open[k].tag in stop:
-                break
+        hit = self.innermost(ends)
         if not hit:
             return False
+        wall = self.innermost(stop, ends)
+        if hit < wall:
+            return False
+        if all_of_them:
+            hit = min(p[i] for t in ends if (p := self.at.get(t)) and (i := bisect_right(p, wall)) < len(p))
         while len(self.open) > hit:
             self.pop()
         return True
 
     def leave_head(self) -> None:
-        if self.count.get("head"):
+        if self.at.get("head"):
             self.close({"head"}, frozenset())
 
     def text(self, s: str) -> None:
-        if self.count.get("head") and self.open[-1].tag == "head":
+        if self.at.get("head") and self.open[-1].tag == "head":
             if not s.strip():
                 return
             self.leave_head()
@@ -132,24 +146,19 @@ class Builder:
 
     def foreign(self) -> int:
         """Place of the svg or math that the next element would belong to; 0: none."""
-        if self.count.get("svg") or self.count.get("math"):
-            for k in range(len(self.open) - 1, 0, -1):
-                if self.open[k].tag in ("svg", "math"):
-                    return k
-                if self.open[k].tag in INTEGRATION:
-                    break
-        return 0
+        k = self.innermost(FOREIGN)
+        return k if k and k > self.innermost(INTEGRATION) else 0
 
     def start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
         if tag in ("html", "body"):
             self.leave_head()
             if tag == "html":
                 self.root.attrs = attrs | self.root.attrs
-            elif not self.count.get("body"):
+            elif not self.at.get("body"):
                 self.push("body", attrs)
             return
         if tag == "head":
-            if not self.count.get("body") and not self.count.get("head"):
+            if not self.at.get("body") and not self.at.get("head"):
                 self.push("head", attrs)
             return
         while tag in BREAKOUT and (k := self.foreign()):
@@ -157,9 +166,9 @@ class Builder:
                 self.pop()
         if self.open[-1].tag == "head" and tag not in HEAD:
             self.leave_head()
-        if tag in PARTS and not self.count.get("table"):
+        if tag in PARTS and not self.at.get("table"):
             return
-        if tag in CLOSES_P and self.count.get("p"):
+        if tag in CLOSES_P and self.at.get("p"):
             self.close({"p"}, SCOPE)
         if tag in ENDS:
             ends, stop = ENDS[tag]
@@ -181,7 +190,7 @@ class Builder:
             return
         if tag == "br":
             self.start("br", {}, False)
-        elif tag == "p" and not self.count.get("p"):
+        elif tag == "p" and not self.at.get("p"):
             self.start("p", {}, False)
             self.pop()
         elif tag in ("table", "tr", "tbody", "thead", "tfoot"):
@@ -216,7 +225,7 @@ def parse(page: str) -> Builder:
         if (tag in RAW or tag in RCDATA) and tree.open[-1].tag == tag and tree.open[-1].attrs is attrs:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             body = page[at : stop.start() if stop else n]
-            if tag == "style" and not (tree.count.get("noscript") or tree.count.get("template")) and attrs.get("type", "").strip().lower() in ("", "text/css"):
+            if tag == "style" and not (tree.at.get("noscript") or tree.at.get("template")) and attrs.get("type", "").strip().lower() in ("", "text/css"):
                 tree.css.append((attrs.get("media", ""), body))
             if tag in RCDATA or tag == "xmp":
                 tree.open[-1].kids.append(html.unescape(body) if tag in RCDATA else body)
@@ -305,7 +314,7 @@ class Renderer:
 
     def gone(self, node: Node) -> bool:
         tag, attrs = node.tag, node.attrs
-        if tag in UNSEEN or (self.within and tag in FOREIGN_UNSEEN) or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
+        if tag in UNSEEN or (self.within and tag in FOREIGN_UNSEEN) or (tag == "input" and attrs.get("type", "").lower() == "hidden") or (tag == "object" and "data" in attrs):
             return True
         display = self.style(node, "display")
         if display:
@@ -370,7 +379,7 @@ class Renderer:
                 flow.line.append(line)
 
     def element(self, node: Node, flow: Flow, seen: bool, pre: bool) -> None:
-        tag = node.tag
+        tag, attrs, display = node.tag, node.attrs, self.style(node, "display")
         if tag in ("svg", "math") or self.within:
             self.foreign(node, flow, seen, pre)
         elif tag == "br":
@@ -392,7 +401,11 @@ class Renderer:
             inner = Flow()
             self.kids(node, inner, seen, True)
             flow.block(inner.done(), 2)
-        elif tag in BLOCK:
+        elif tag == "input":
+            kind = attrs.get("type", "").strip().lower()
+            if seen and (kind in TYPED or kind not in INPUTS):
+                flow.text(attrs.get("value") or attrs.get("placeholder", ""))
+        elif (display in AS_BLOCK) or (tag in BLOCK and display not in AS_INLINE):
             margin = 2 if tag in MARGIN else 1
             flow.brk(margin)
             self.kids(node, flow, seen, pre)
@@ -433,7 +446,7 @@ class Renderer:
         flow.block(lines, 1 if self.depth else 2)
 
     def table(self, node: Node, flow: Flow, seen: bool) -> None:
-        rows: list[list[tuple[int, list[str]]]] = []
+        rows: list[list[tuple[int, int, list[str]]]] = []
         heads: list[list[str]] = []
 
         def collect(part: Node, seen: bool) -> None:
@@ -448,10 +461,10 @@ class Renderer:
                 if kid.tag in ("tbody", "thead", "tfoot"):
                     collect(kid, shown)
                 elif kid.tag == "tr":
-                    row: list[tuple[int, list[str]]] = []
+                    row: list[tuple[int, int, list[str]]] = []
                     for cell in kid.kids:
                         inner = Flow()
-                        span = 1
+                        wide = high = 1
                         if isinstance(cell, str):
                             if not (shown and cell.strip()):
                                 continue
@@ -459,10 +472,9 @@ class Renderer:
                         elif self.gone(cell):
                             continue
                         else:
-                            width = cell.attrs.get("colspan", "1")
-                            span = min(1000, max(1, int(width))) if re.fullmatch(r"\d{1,6}", width) else 1
+                            wide, high = number(cell, "colspan", 1, 1000), number(cell, "rowspan", 0, 65534)
                             self.kids(cell, inner, self.seen(cell, shown), False)
-                        row.append((span, inner.done()))
+                        row.append((wide, high, inner.done()))
                     rows.append(row)
                 else:
                     inner = Flow()
@@ -470,23 +482,53 @@ class Renderer:
                     heads.append(inner.done())
 
         collect(node, seen)
-        lines = [x for h in heads for x in h]
-        width: dict[int, int] = {}
-        for row in rows:
-            at = 0
-            for span, cell in row:
-                if span == 1:
-                    width[at] = max(width.get(at, 0), max(map(len, cell), default=0))
-                at += span
-        for row in rows:
-            for k in range(max((len(c) for _, c in row), default=0)):
-                at, line = 0, ""
-                for span, cell in row:
-                    room = sum(width.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-                    line += (cell[k] if k < len(cell) else "").ljust(room) + "  "
-                    at += span
-                lines.append(line.rstrip())
-        flow.block(lines, 2)
+        flow.block([x for h in heads for x in h] + aligned(rows), 2)
+
+
+def number(node: Node, name: str, least: int, most: int) -> int:
+    value = node.attrs.get(name, "1").strip()
+    return min(most, max(least, int(value))) if re.fullmatch(r"\d{1,6}", value) else 1
+
+
+def aligned(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
+    """Lines of a table of (columns, rows, lines) cells. A cell takes the first column that no cell from above reaches into; 0 rows: all that follow."""
+    placed: list[list[tuple[int, int, list[str]]]] = []
+    taken: dict[int, int] = {}  # column -> rows that a cell from above still takes
+    for row in rows:
+        at, out, below = 0, [], {}
+        for wide, high, cell in row:
+            while at in taken:
+                at += 1
+            out.append((at, at + wide, cell))
+            if high != 1:
+                below |= dict.fromkeys(range(at, at + wide), high - 1 if high else len(rows))
+            at += wide
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | below
+        placed.append(out)
+    starts = sorted({at for row in placed for at, _, _ in row})
+    width = [0] * len(starts)
+    index = {at: i for i, at in enumerate(starts)}
+    spans: list[tuple[int, int, int]] = []
+    for row in placed:
+        for at, end, cell in row:
+            first, last, size = index[at], bisect_left(starts, end) - 1, max(map(len, cell), default=0)
+            if first == last:
+                width[first] = max(width[first], size)
+            else:
+                spans.append((last, first, size))
+    for last, first, size in sorted(spans):
+        width[last] = max(width[last], size - sum(width[first:last]) - 2 * (last - first))
+    offset, lines = [0], []
+    for w in width:
+        offset.append(offset[-1] + w + 2)
+    for row in placed:
+        for k in range(max((len(c) for _, _, c in row), default=0)):
+            line = ""
+            for at, _, cell in row:
+                if k < len(cell) and cell[k]:
+                    line = line.ljust(offset[index[at]]) + cell[k]
+            lines.append(line.rstrip())
+    return lines
 
 
 def page_text(page: str | None) -> str | None:
