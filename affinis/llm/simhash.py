@@ -8,12 +8,14 @@ in as many bits as the radius allows, at the radius itself. Within the buckets o
 partition the hashes are stored as vertical bit planes; a row is compared with its s-th successor
 for all rows at once: the planes are XORed with themselves shifted by s lanes, counted by
 carry-save adders into bit-sliced counters, and a block of 64 lanes is abandoned as soon as all of its
-lanes exceed the radius. Pairs become groups by connected components, first within a partition, then over
-all by alternating star contraction.
+lanes exceed the radius. A bucket of more than HOT_ROWS rows is cut into groups, and each two groups are a task's work, so
+that every pair of it is compared however large it is. Pairs become groups by connected components, first within a partition, then over
+all by alternating star contraction. A pair counts as a link in the first table that joins it, which its two hashes tell, so pairs
+are counted where they are found and never written out.
 
 Defined cases: a null text, or one without a word, belongs to no group and stays; rows with a null id belong
-to no group and stay; rows that repeat an id are one document, with the smallest of their hashes, and one of them stays; of a group the
-smallest id stays; texts are hashed whole, however long; an empty table gives an empty result;
+to no group and stay; rows that repeat an id are one document, with the smallest of their hashes, and the one of them with the least text stays; of a group the
+smallest id stays; ids may be numbers or strings; texts are hashed whole, however long; an empty table gives an empty result;
 other columns are carried through by the filter and not read otherwise.
 """
 
@@ -39,6 +41,8 @@ SHARE = 0.14
 EDGE_RECALL = 0.9
 #: Rows of a bucket, on average, beyond which keys get wider.
 BUCKET_ROWS = 128
+#: Rows of a bucket beyond which it is cut into groups of about this size; keyed rows of a task, about.
+HOT_ROWS, TASK_ROWS = 8192, 1 << 19
 PUNCTUATION = string.punctuation + "¡¿«»„“”‘’…–—·"
 
 
@@ -85,8 +89,8 @@ def hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             for batch in slices(whole, whole.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(simhashes(batch.column(1)), pa.binary())], names=["id", "sim"])
 
-    rows = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
-    return rows.where("id IS NOT NULL").mapInArrow(run, "id bigint, sim binary")
+    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    return rows.where("id IS NOT NULL").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, sim binary")
 
 
 def plan(n: int, recall: float = RECALL, share: float = SHARE, radius: int = RADIUS, edge_recall: float = EDGE_RECALL) -> tuple[int, int]:
@@ -230,42 +234,163 @@ def components(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.nda
     return parent
 
 
-def edges(reps: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
-    """(u, v), u > v: links between near representatives; those that share a bucket and are near end up connected."""
+def first_tables(where: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+    """What ``first_table`` looks up, for runs of tables with different positions: (32, 256) sets of the tables that a byte of differing bits hits; the first table, and how many."""
+    per = BITS // where.shape[1]
+    out = []
+    for lo in range(0, len(where), per):
+        some = where[lo : lo + per]
+        hit = np.zeros((BITS // 8, 256), np.uint64)
+        for t, at in enumerate(some):
+            for p in at.tolist():
+                hit[p // 8, (np.arange(256) >> (7 - p % 8) & 1) == 1] |= np.uint64(1 << t)
+        out.append((hit, lo, len(some)))
+    return out
+
+
+def first_table(differ: np.ndarray, looked: list[tuple[np.ndarray, int, int]]) -> np.ndarray:
+    """The first table in whose positions no bit differs; -1: none. differ: (n, 32) bytes."""
+    out = np.full(len(differ), -1)
+    open_ = np.arange(len(differ))
+    for hit, lo, n in looked:
+        if not len(open_):
+            break
+        reached = np.zeros(len(open_), np.uint64)
+        for k in range(BITS // 8):
+            reached |= hit[k][differ[open_, k]]
+        free = ~reached & np.uint64((1 << n) - 1)
+        low = free & (~free + np.uint64(1))
+        some = free != 0
+        out[open_[some]] = lo + np.round(np.log2(low[some].astype(np.float64))).astype(np.int64)
+        open_ = open_[~some]
+    return out
+
+
+def links(reps: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(u, v, n): v, if there, is a node that u is linked to, so that near representatives that share a bucket end up connected; n: links of u that were counted."""
     where = positions(*plan(n, recall, radius=radius))
+    tables, looked = len(where), first_tables(where)
+    kind = dict(reps.dtypes)["id"]
+    slots = reps.sparkSession.sparkContext.defaultParallelism
 
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, _ = utf8(batch.column(1))
             bits = np.unpackbits(raw.reshape(-1, BITS // 8), axis=1).astype(np.int64)
             for t, at in enumerate(where):
                 key = bits[:, at] @ (1 << np.arange(len(at)))
-                yield pa.RecordBatch.from_arrays([pa.array(key * len(where) + t), batch.column(0), batch.column(1)], names=["bucket", "id", "sim"])
+                yield pa.RecordBatch.from_arrays([pa.array(key * tables + t), batch.column(0), batch.column(1)], names=["bucket", "id", "sim"])
+
+    def solve(rows: pa.Table, bucket: np.ndarray, side: np.ndarray | None = None) -> pa.RecordBatch:
+        """rows: (.., id, sim), sorted by bucket. side: only pairs of two sides count, and those of equal sides where it is negative."""
+        table = bucket % tables
+        known, node = np.unique(rows["id"].to_numpy(), return_inverse=True)
+        sims = utf8(rows["sim"])[0].reshape(-1, BITS // 8)
+        count = np.zeros(len(known), np.int64)
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for a, b in near_pairs(sims, bucket, radius):
+                if side is not None:
+                    keep = (side[a] != side[b]) | (side[a] < 0)
+                    a, b = a[keep], b[keep]
+                for lo in range(0, len(a), 1 << 18):
+                    i, j = a[lo : lo + (1 << 18)], b[lo : lo + (1 << 18)]
+                    new = first_table(sims[i] ^ sims[j], looked) == table[i]
+                    count[:] += np.bincount(node[i[new]], minlength=len(known)) + np.bincount(node[j[new]], minlength=len(known))
+                yield node[a], node[b]
+
+        top = components(len(known), found())
+        u = np.flatnonzero((top != np.arange(len(top))) | (count > 0))
+        names = pa.array(known, rows.schema.field("id").type)
+        return pa.RecordBatch.from_arrays([names.take(pa.array(u)), names.take(pa.array(top[u], mask=top[u] == u)), pa.array(count[u])], names=["u", "v", "n"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        rows = pa.Table.from_batches(got)
-        bucket, ids = rows["bucket"].to_numpy(), rows["id"].to_numpy()
-        order = np.argsort(bucket, kind="stable")
-        bucket = bucket[order]
-        shared = np.zeros(len(order), bool)
-        shared[1:] = bucket[1:] == bucket[:-1]
-        shared[:-1] |= shared[1:]
-        order, bucket = order[shared], bucket[shared]
-        if not len(order):
-            return
-        known, node = np.unique(ids[order], return_inverse=True)
-        raw, _ = utf8(rows["sim"])
-        sims = raw.reshape(-1, BITS // 8)[order]
-        links = ((node[a], node[b]) for a, b in near_pairs(sims, bucket, radius))
-        top = components(len(known), links)
-        u = np.flatnonzero(top != np.arange(len(top)))
-        yield pa.RecordBatch.from_arrays([pa.array(known[u]), pa.array(known[top[u]])], names=["u", "v"])
-
-    keyed = reps.select("id", "sim").mapInArrow(tables, "bucket bigint, id bigint, sim binary")
-    return keyed.repartition("bucket").mapInArrow(compare, "u bigint, v bigint").distinct()
+        """Rows come sorted by bucket. Small buckets are solved, a task's worth at once; the rows of large ones are handed on."""
+        held: list[pa.RecordBatch] = []  # whole small buckets
+        last: list[pa.RecordBatch] = []  # the bucket that has begun
+        here, size, done = None, 0, 0
+
+        def small() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                held.clear()
+                got = solve(rows, rows["bucket"].to_numpy())
+                none = pa.nulls(len(got), pa.int64()), pa.nulls(len(got), pa.binary())
+                yield pa.RecordBatch.from_arrays([*got.columns, *none], names=["u", "v", "n", "bucket", "sim"])
+
+        def hot(rows: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([rows.column(1), pa.nulls(len(rows), rows.column(1).type), pa.nulls(len(rows), pa.int64()), rows.column(0), rows.column(2)], names=["u", "v", "n", "bucket", "sim"])
+
+        for batch in batches:
+            bucket = batch.column(0).to_numpy()
+            if not len(bucket):
+                continue
+            cuts = np.append(np.append(0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(bucket))
+            ends = np.diff(cuts)
+            for first, end in ((0, 1), (1, len(ends) - 1), (max(1, len(ends) - 1), len(ends))):  # what may go on from before, what lies within, what may go on
+                if first >= end:
+                    continue
+                lo, hi = int(cuts[first]), int(cuts[end])
+                if bucket[lo] != here:
+                    if 1 < size <= hot_rows:
+                        held += last
+                        done += size
+                    here, last, size = None, [], 0
+                if end - first == 1 and first != 1 or end == len(ends):
+                    here = bucket[lo]
+                    size += hi - lo
+                    last.append(batch.slice(lo, hi - lo))
+                    if size > hot_rows:
+                        yield from map(hot, last)
+                        last = []
+                    continue
+                each = np.repeat(ends[first:end], ends[first:end])
+                fit = np.flatnonzero((each > 1) & (each <= hot_rows))
+                if len(fit):
+                    held.append(batch.slice(lo, hi - lo).take(pa.array(fit)))
+                    done += len(fit)
+                if (each > hot_rows).any():
+                    yield hot(batch.slice(lo, hi - lo).filter(pa.array(each > hot_rows)))
+            if done > TASK_ROWS:
+                yield from small()
+                done = 0
+        if 1 < size <= hot_rows:
+            held += last
+        yield from small()
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell."""
+        held: list[pa.RecordBatch] = []
+        here = None
+
+        def cell() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                held.clear()
+                i, j, group = (rows[name].to_numpy() for name in ("i", "j", "g"))
+                yield solve(rows, rows["bucket"].to_numpy(), np.where(i == j, -1, group))
+
+        for batch in batches:
+            if batch.num_rows:
+                key = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+                cuts = (np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()
+                for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                    if tuple(key[lo].tolist()) != here:
+                        yield from cell()
+                        here = tuple(key[lo].tolist())
+                    held.append(batch.slice(lo, hi - lo))
+        yield from cell()
+
+    keyed = reps.select("id", "sim").mapInArrow(keys, f"bucket bigint, id {kind}, sim binary")
+    tasks = max(2 * slots, -(-n * tables // TASK_ROWS))
+    first = cut(keyed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, f"u {kind}, v {kind}, n bigint, bucket bigint, sim binary"))
+    found = first.where("bucket IS NULL").select("u", "v", "n")
+    hot = first.where("bucket IS NOT NULL").select("bucket", F.col("u").alias("id"), "sim")
+    groups = hot.groupBy("bucket").agg(F.ceil(F.count("*") / hot_rows).cast("int").alias("groups"))
+    parts = hot.join(groups, "bucket").withColumn("g", F.pmod(F.xxhash64("id"), "groups").cast("int"))
+    place = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda o: F.struct(F.least(o, "g").alias("i"), F.greatest(o, "g").alias("j")))
+    spread = parts.select("bucket", F.explode(place).alias("c"), "g", "id", "sim").select("bucket", "c.i", "c.j", "g", "id", "sim")
+    return found.unionByName(spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(cells, f"u {kind}, v {kind}, n bigint"))
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -284,19 +409,22 @@ def roots(links: DataFrame) -> DataFrame:
             return links
 
 
-def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
-    """(id, keep_id, n): every document with words, the one of its group that stays, and its number of rows."""
+def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float = RECALL, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id, keep_id, n_links, n): every document with words, the one of its group that stays, the number of other hashes near its own, and its number of rows."""
     sims = cut(hashes(docs, id_col, text_col).groupBy("id").agg(F.min("sim").alias("sim"), F.count("*").alias("n")))
     reps = cut(sims.where("sim IS NOT NULL").groupBy("sim").agg(F.min("id").alias("id")))
-    top = roots(edges(reps, reps.count(), radius, recall))
-    rooted = reps.select("sim", F.col("id").alias("u")).join(top, "u", "left").select("sim", F.coalesce("v", "u").alias("keep_id"))
-    return sims.join(rooted, "sim", "left").select("id", F.coalesce("keep_id", "id").alias("keep_id"), "n")
+    found = cut(links(reps, reps.count(), radius, recall, hot_rows))
+    top = roots(found.where("v IS NOT NULL").select("u", "v").distinct())
+    counted = found.groupBy("u").agg(F.sum("n").alias("n_links"))
+    rooted = reps.select("sim", F.col("id").alias("u")).join(top, "u", "left").join(counted, "u", "left").select("sim", F.coalesce("v", "u").alias("keep_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return sims.join(rooted, "sim", "left").select("id", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
-    """(keep_id, doc_ids, n_docs): each group of two documents or more, its ids in order and the id that stays."""
-    found = members(docs, id_col, text_col, radius, recall).groupBy("keep_id").agg(F.array_sort(F.collect_list("id")).alias("doc_ids"))
-    return found.select("keep_id", "doc_ids", F.size("doc_ids").cast("bigint").alias("n_docs")).where("n_docs > 1")
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float = RECALL, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id, keep_id, n_links): each document of a group of two or more, the id of its group that stays, and the number of other hashes near its own."""
+    found = cut(members(docs, id_col, text_col, radius, recall, hot_rows))
+    shared = found.where("id <> keep_id").select("keep_id").distinct()
+    return found.join(shared, "keep_id", "left_semi").select(F.col("id").alias(id_col), "keep_id", "n_links")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
@@ -309,8 +437,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if again.isEmpty():
         return kept
     same = kept[f"`{id_col}`"] == F.col("`\x00id`")
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col]))
+    order = Window.partitionBy(col(id_col)).orderBy(col(text_col), F.to_json(F.struct(*map(col, docs.columns))))
+    one = kept.join(again, same, "left_semi").withColumn("\x00n", F.row_number().over(order)).where("`\x00n` = 1").drop("\x00n")
+    return kept.join(again, same, "left_anti").unionByName(one)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"))

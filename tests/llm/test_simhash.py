@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from affinis.llm import simhash
 
@@ -43,18 +44,45 @@ def corpus():
     return [" ".join(d) for d in docs]
 
 
-def test_groups_against_brute_force(spark, corpus):
-    df = spark.createDataFrame(list(enumerate(corpus)), "doc_id bigint, text string")
-    got = {frozenset(r.doc_ids): r.keep_id for r in simhash.groups(df).collect()}
-    bits = np.unpackbits(np.frombuffer(b"".join(simhash.simhashes(pa.array(corpus))), np.uint8).reshape(-1, 32), axis=1)
-    near = (bits[:, None] != bits[None]).sum(2) <= simhash.RADIUS
-    want = {(i, j) for i in range(len(corpus)) for j in range(i + 1, len(corpus)) if near[i, j]}
-    found = {(i, j) for g in got for i in g for j in g if i < j}
-    assert len(want) > 40
-    assert len(found & want) >= 0.95 * len(want)
-    assert all(min(g) == keep for g, keep in got.items())
-    top = simhash.components(len(corpus), iter([(np.array([i for i, _ in want]), np.array([j for _, j in want]))]))
-    assert all(len({top[i] for i in g}) == 1 for g in got)
+def grouped(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.keep_id, set()).add(r.doc_id)
+    return out
+
+
+def test_classes_and_links_against_brute_force(spark, corpus):
+    texts = [*corpus, *corpus[:40]]  # with exact copies
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    rows = simhash.classes(df).collect()
+    got = grouped(rows)
+    sims = simhash.simhashes(pa.array(texts))
+    bits = np.unpackbits(np.frombuffer(b"".join(sims), np.uint8).reshape(-1, 32), axis=1)
+    apart = (bits[:, None] != bits[None]).sum(2)
+    near = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if apart[i, j] <= simhash.RADIUS}
+    found = {(i, j) for g in got.values() for i in g for j in g if i < j}
+    assert len(near) > 40
+    assert len(found & near) >= 0.95 * len(near)
+    assert all(min(g) == keep and len(g) > 1 for keep, g in got.items())
+    top = simhash.components(len(texts), iter([(np.array([i for i, _ in near]), np.array([j for _, j in near]))]))
+    assert all(len({top[i] for i in g}) == 1 for g in got.values())
+    want = [len({sims[j] for j in range(len(texts)) if apart[i, j] <= simhash.RADIUS and sims[j] != sims[i]}) for i in range(len(texts))]
+    links = {r.doc_id: r.n_links for r in rows}
+    assert all(n <= want[i] for i, n in links.items())
+    assert sum(links.values()) >= 0.95 * sum(want)
+    # Buckets that are cut into groups give the same links.
+    assert sorted(map(tuple, simhash.classes(df, hot_rows=2).collect())) == sorted(map(tuple, rows))
+    text_ids = df.select(F.format_string("k%04d", "doc_id").alias("doc_id"), "text")
+    assert sorted((int(r.doc_id[1:]), int(r.keep_id[1:]), r.n_links) for r in simhash.classes(text_ids).collect()) == sorted(map(tuple, rows))
+
+
+def test_first_table():
+    rng = np.random.default_rng(6)
+    where = simhash.positions(17, 40)
+    bits = (rng.random((3000, 256)) < rng.choice([0.01, 0.05, 0.12, 0.3], 3000)[:, None]).astype(np.uint8)
+    want = [next((t for t, at in enumerate(where) if not b[at].any()), -1) for b in bits]
+    assert simhash.first_table(np.packbits(bits, axis=1), simhash.first_tables(where)).tolist() == want
+    assert {-1, 0} < set(want)
 
 
 def test_odd_rows(spark):
@@ -63,9 +91,11 @@ def test_odd_rows(spark):
     kept = sorted((r.doc_id or 0, r.text) for r in simhash.drop_near_duplicates(df).collect())
     assert kept == [(0, "same words here"), (1, "same words here"), (3, kept[2][1]), (4, ""), (5, " \n"), (6, "other text entirely"), (7, "x " * 50000), (8, "!!! ...")]
     assert simhash.drop_near_duplicates(df).columns == df.columns
-    assert [(r.keep_id, r.doc_ids, r.n_docs) for r in simhash.groups(df).collect()] == [(1, [1, 2], 2)]
+    assert sorted(map(tuple, simhash.classes(df).collect())) == [(1, 1, 0), (2, 1, 0)]
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
-    assert simhash.groups(df.limit(0)).count() == 0
+    assert simhash.classes(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(6, "z text"), (6, "a text of its own"), (7, "y")], "doc_id bigint, text string")
+    assert sorted(map(tuple, simhash.drop_near_duplicates(twice).collect())) == [(6, "a text of its own"), (7, "y")]
 
 
 def test_plan_keeps_its_recall():
