@@ -2,13 +2,13 @@
 
 Filters of widths 2, 3 and 4 slide over the bytes of fixed-length windows; ReLU and max pooling give one number for each
 filter, and a softmax layer gives the languages' probabilities. A text of any length is
-cut into windows of WINDOW bytes, the last one flush with its end (shorter texts are padded with zero
-bytes); its probabilities are the mean over its windows. Because the input is one-hot bytes, a filter is a table
+cut into windows of WINDOW bytes that overlap by OVERLAP, so that every run of bytes that a filter can see lies within one, the last one flush
+with its end (shorter texts are padded with zero bytes); its probabilities are the mean over its windows. Because the input is one-hot bytes, a filter is a table
 of weights by byte, and tables of two bytes make the convolution a few look-ups.
 
 The network is trained on labelled text of the corpus: at most PER_LANGUAGE documents of each label,
-those with text and the smallest hashes of their ids, so the sample is the same on every run. Of each of them the
-network sees WINDOWS_PER_TEXT windows at random places, half of them cut short; both bounds are parameters of ``train``.
+those with text and the smallest hashes of their ids, so the sample is the same on every run; the bound is a parameter of ``train``. Of each of
+them the network sees the whole text, window by window, and of every second window also a shorter piece.
 
 Defined cases: a text that is null, empty or without a letter gets the language ``und`` with
 probability 0 and is rejected, as is one whose best probability is below MIN_PROBABILITY; equal probabilities
@@ -30,21 +30,20 @@ from pyspark.sql import functions as F
 from affinis.llm.common import col, slices, table, utf8
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
+OVERLAP = max(WIDTHS) - 1
 #: Bound of the training sample: documents of each label.
 PER_LANGUAGE = 250
-#: Bound of the training sample: windows of each document.
-WINDOWS_PER_TEXT = 6
 MIN_PROBABILITY = 0.4
 UNKNOWN = "und"
 
 
 def cut_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every window, and the number of windows of each text (none of an empty one)."""
-    sizes = np.diff(offsets)
-    n = -(-sizes // WINDOW)
+    sizes, step = np.diff(offsets), WINDOW - OVERLAP
+    n = np.where(sizes > 0, np.maximum(1, -(-(sizes - OVERLAP) // step)), 0)
     first = np.cumsum(n) - n
     text = np.repeat(np.arange(len(n)), n)
-    begin = offsets[:-1][text] + (np.arange(int(n.sum())) - first[text]) * WINDOW
+    begin = offsets[:-1][text] + (np.arange(int(n.sum())) - first[text]) * step
     end = offsets[1:][text]
     begin = np.where((begin + WINDOW > end) & (sizes[text] > WINDOW), end - WINDOW, begin)
     return begin, np.minimum(begin + WINDOW, end), n
@@ -72,10 +71,9 @@ class ByteCNN:
 
     def pooled(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Maximum of each filter and where it is; for training."""
-        last = WINDOW - max(WIDTHS) + 1
         top, where = [], []
         for w in WIDTHS:
-            table = self.params[f"w{w}"]
+            table, last = self.params[f"w{w}"], WINDOW - w + 1
             r = table[0][x[:, :last]]
             for o in range(1, w):
                 r += table[o][x[:, o : o + last]]
@@ -83,7 +81,7 @@ class ByteCNN:
             top.append(np.take_along_axis(r, where[-1][:, None], 1)[:, 0])
         return np.concatenate(top, 1), np.concatenate(where, 1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 7) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 3, batch: int = 64, rate: float = 0.02, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         moments = {k: (np.zeros_like(p), np.zeros_like(p)) for k, p in self.params.items()}
         step = 0
@@ -123,14 +121,15 @@ class ByteCNN:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """Of windows (n, WINDOW)."""
         first, third, rest = self.tables()
-        last = WINDOW - max(WIDTHS) + 1
         out = np.empty((len(x), len(self.languages)), np.float32)
         for lo in range(0, len(x), 64):
             xs = x[lo : lo + 64].astype(np.int64)
             two = (xs[:, :-1] << 8) | xs[:, 1:]
-            r = first.take(two[:, :last], axis=0)
-            r[:, :, FILTERS : 2 * FILTERS] += third.take(xs[:, 2 : 2 + last], axis=0)
-            r[:, :, 2 * FILTERS :] += rest.take(two[:, 2 : 2 + last], axis=0)
+            r = first.take(two, axis=0)
+            # A filter of three or four bytes has one or two places less.
+            r[:, :-1, FILTERS : 2 * FILTERS] += third.take(xs[:, 2:], axis=0)
+            r[:, :-2, 2 * FILTERS :] += rest.take(two[:, 2:], axis=0)
+            r[:, -1:, FILTERS:] = r[:, -2:-1, 2 * FILTERS :] = -np.inf
             h = np.maximum(r.max(1) + self.params["b"], 0)
             out[lo : lo + 64] = softmax(h @ self.params["v"] + self.params["c"])
         return out
@@ -152,18 +151,18 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def training_windows(texts: list[bytes], labels: np.ndarray, seed: int = 7, per_text: int = WINDOWS_PER_TEXT) -> tuple[np.ndarray, np.ndarray]:
-    """Windows at random places of each text, half of them cut short, so that short texts are learnt too."""
+def training_windows(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of each text, and a shorter piece of every second one, so that short texts are learnt too."""
     rng = np.random.default_rng(seed)
-    x, y = [], []
-    for text, label in zip(texts, labels, strict=True):
-        for k in range(per_text):
-            size = WINDOW if k % 2 == 0 else int(rng.integers(12, WINDOW))
-            at = int(rng.integers(0, max(1, len(text) - size + 1)))
-            piece = np.frombuffer(text[at : at + size], np.uint8)
-            x.append(np.pad(piece, (0, WINDOW - len(piece))))
-            y.append(label)
-    return np.array(x, np.uint8).reshape(-1, WINDOW), np.array(y, np.int64)
+    size = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    begin, end, n = cut_windows(data, np.append(0, np.cumsum(size)))
+    y = np.repeat(labels, n)
+    half = np.arange(0, len(begin), 2)
+    low, span = begin[half], end[half] - begin[half]
+    piece = np.minimum(rng.integers(12, WINDOW, len(half)), span)
+    low = low + (rng.random(len(half)) * (span - piece + 1)).astype(np.int64)
+    return gather(data, np.append(begin, low), np.append(end, low + piece)), np.append(y, y[half])
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -175,12 +174,12 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: s
     return rows.where(usable).join(F.broadcast(ids), "id", "left_semi")  # at most per_language ids a language
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", windows_per_text: int = WINDOWS_PER_TEXT) -> ByteCNN:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCNN:
     got = training_sample(docs, per_language, id_col, text_col, lang_col).toArrow().to_pandas().sort_values(["lang", "id", "text"])
     languages = sorted(set(got["lang"]))
     model = ByteCNN(languages)
     if languages:
-        x, y = training_windows([t.encode("utf-8", "surrogatepass") for t in got["text"]], np.array([languages.index(v) for v in got["lang"]]), per_text=windows_per_text)
+        x, y = training_windows([t.encode("utf-8", "surrogatepass") for t in got["text"]], np.array([languages.index(v) for v in got["lang"]]))
         model.fit(x, y)
     return model
 
@@ -209,14 +208,20 @@ def identify(docs: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, language string, probability double, kept boolean")
 
 
-def keep_identified(docs: DataFrame, model: ByteCNN, text_col: str = "text", min_probability: float = MIN_PROBABILITY) -> DataFrame:
-    """The rows of docs whose text has a language, all columns as they are."""
+def keep_identified(docs: DataFrame, model: ByteCNN, text_col: str = "text", min_probability: float = MIN_PROBABILITY, lang_col: str | None = None) -> DataFrame:
+    """The rows of docs whose text has a language, all columns as they are; a null or blank value of lang_col, if it is given, becomes the language found."""
     at = docs.columns.index(text_col)
+    lang = docs.columns.index(lang_col) if lang_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, whole.column(at)):
-                yield batch.filter(pa.array(judge(model, batch.column(at), min_probability)[2]))
+                language, _, kept = judge(model, batch.column(at), min_probability)
+                if lang is not None:
+                    own = batch.column(lang)
+                    known = pc.fill_null(pc.not_equal(pc.utf8_trim_whitespace(own), ""), False)
+                    batch = batch.set_column(lang, batch.schema.field(lang), pc.if_else(known, own, pa.array(language, own.type)))
+                yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
 

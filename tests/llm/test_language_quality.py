@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from affinis.llm import language_id, quality
 
@@ -34,15 +35,26 @@ def test_windows_cover_whole_texts():
             assert off[i] <= begin[k] < end[k] <= off[i + 1]
             seen |= set(range(begin[k], end[k]))
         assert seen == set(range(off[i], off[i + 1]))
+        # Every run of bytes as wide as the widest filter lies within a window.
+        assert all(any(begin[k] <= at and at + 4 <= end[k] for k in range(n[:i].sum(), n[: i + 1].sum())) for at in range(off[i], off[i + 1] - 3))
+
+
+def test_training_reads_whole_texts():
+    texts = [bytes(np.random.default_rng(k).integers(97, 123, size).astype(np.uint8)) for k, size in enumerate((5, 256, 700, 4000))]
+    x, y = language_id.training_windows(texts, np.array([0, 1, 0, 2]))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    begin, end, n = language_id.cut_windows(data, np.cumsum([0, *map(len, texts)]))
+    assert (x[: len(begin)] == language_id.gather(data, begin, end)).all()
+    assert y[: len(begin)].tolist() == np.repeat([0, 1, 0, 2], n).tolist()
+    assert len(x) == len(y) == len(begin) + -(-len(begin) // 2)
 
 
 def test_network_equals_plain_convolution():
     model = language_id.ByteCNN(["a", "b", "c"], seed=1)
     x = np.random.default_rng(0).integers(0, 256, (70, language_id.WINDOW)).astype(np.uint8)
-    last = language_id.WINDOW - 3
     pooled = []
     for w in language_id.WIDTHS:
-        t = model.params[f"w{w}"]
+        t, last = model.params[f"w{w}"], language_id.WINDOW - w + 1
         pooled.append(sum(t[o][x[:, o : o + last]] for o in range(w)).max(1))
     h = np.maximum(np.concatenate(pooled, 1) + model.params["b"], 0)
     np.testing.assert_allclose(model.probabilities(x), language_id.softmax(h @ model.params["v"] + model.params["c"]), rtol=1e-4)
@@ -66,6 +78,12 @@ def test_language_odd_rows(spark):
     out = language_id.keep_identified(df, model)
     assert out.columns == df.columns
     assert out.count() == sum(r.kept for r in got)
+    named = {(r.doc_id, r.text): r.lang for r in language_id.keep_identified(df, model, lang_col="lang").collect()}
+    assert named[1, ROWS[0][1]] == "en"
+    assert named[6, ROWS[-1][1]] in ("de", "en", "xx")
+    blank = df.withColumn("lang", F.lit(" "))
+    found = {r.doc_id: r.language for r in got}
+    assert all(r.lang == found[r.doc_id] for r in language_id.keep_identified(blank, model, lang_col="lang").collect())
     empty = df.limit(0)
     assert language_id.identify(empty, language_id.train(empty)).count() == 0
     assert {r.language for r in language_id.identify(df, language_id.train(empty)).collect()} == {"und"}
