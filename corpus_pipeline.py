@@ -16,8 +16,8 @@ from affinis.llm.common import cut
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that the network, trained on their labels, is sure enough of."""
-    return language_id.keep_identified(docs, language_id.train(docs))
+    """Documents with a language that the network, trained on their labels, is sure enough of; it becomes the label of those without one."""
+    return language_id.keep_identified(docs, language_id.train(docs), lang_col="lang")
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
