@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from affinis.llm import chat, url_filter
 
 PAGES = "page_id bigint, url string, rule string, short string"
@@ -23,6 +25,16 @@ def test_url_precedence_and_odd_rows(spark):
     assert {r.action for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow", "invalid"}
 
 
+def test_bounded_expansion_loses_no_match(spark):
+    urls = ["http://a.b.c.d.example.com/x/y/z/w.html?q=1", "http://1.2.3.4/x/", "http://example.com", "http://a.example.com/x/y", "http://a.b.example.com/x?y"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    for labels, depth in ((2, 1), (3, 2), (9, 9)):
+        rows = df.select("url", url_filter.url_expressions(F.col("url")).alias("all"), url_filter.url_expressions(F.col("url"), labels, depth).alias("some")).collect()
+        for r in rows:
+            can = {e for e in r["all"] if len(e.split("/")[0].split(".")) <= labels and e.count("/") <= depth}
+            assert can <= set(r["some"]) <= set(r["all"])
+
+
 def reference(rows, template):
     out = {}
     chats = {}
