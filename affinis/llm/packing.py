@@ -19,16 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from affinis.llm.common import col, cut, table
+from affinis.llm.common import col, cut, slices, table
 
 CAPACITY = 2048
 #: Pieces of one length that one task ranks, about.
 SALT_ROWS = 1 << 20
-#: Unicode white space.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -187,13 +186,28 @@ def places(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, ...]]:
     return {length: tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) for length, rows in runs.items()}
 
 
+def word_counts(text: pa.Array) -> np.ndarray:
+    """Words of each text; a null has none."""
+    clean = pc.utf8_trim_whitespace(text.fill_null("").cast(pa.large_string()))
+    n = pc.list_value_length(pc.utf8_split_whitespace(clean)).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.where(pc.binary_length(clean).to_numpy(zero_copy_only=False) > 0, n, 0)
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """(id, piece, n): the pieces of each document."""
-    spaced = F.trim(F.regexp_replace(col(text_col), SPACE, " "))
-    size = col(length_col).cast("bigint") if length_col else F.when(spaced != "", F.size(F.split(spaced, " +"))).cast("bigint")
-    sized = docs.select(col(id_col).alias("id"), size.alias("size")).where("size > 0")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, whole.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(word_counts(batch.column(1)))], names=["id", "size"])
+
+    if length_col:
+        sized = docs.select(col(id_col).alias("id"), col(length_col).cast("bigint").alias("size"))
+    else:
+        texts = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+        sized = texts.mapInArrow(count, f"id {dict(texts.dtypes)['id']}, size bigint")
     piece = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(size - 1) DIV {capacity}")))
-    return sized.select("id", "size", piece.alias("piece")).select("id", "piece", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("bigint").alias("n"))
+    return sized.where("size > 0").select("id", "size", piece.alias("piece")).select("id", "piece", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("bigint").alias("n"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, salt_rows: int = SALT_ROWS) -> DataFrame:
