@@ -92,13 +92,32 @@ def pack_pool(x: np.ndarray) -> np.ndarray:
     return (wide.reshape(len(x), -1, LANES) << (LANE * np.arange(LANES))).sum(2)
 
 
+def unpack_pool(words: np.ndarray, n: int) -> np.ndarray:
+    """(rows, words) to the n half-hashes of each row."""
+    return (words[:, :, None] >> (LANE * np.arange(LANES)) & 0xFFFF).reshape(len(words), -1)[:, :n]
+
+
+def bitmaps(values: pa.Array, words: int) -> np.ndarray:
+    """(rows, words) bitmaps of 64-bit words, a power of two of them: each token of a set sets one bit.
+
+    Two bitmaps differ in at most as many bits as the sets have tokens that they don't share.
+    """
+    bits = 64 * words
+    size = np.diff(np.asarray(values.offsets))
+    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    bit = ((flat * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    on = np.zeros(len(size) * bits, bool)
+    on[np.repeat(np.arange(len(size)) * bits, size) + bit] = True
+    return np.packbits(on, bitorder="little").view(np.int64).reshape(len(size), words)
+
+
 def as_lists(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), kind))
 
 
 @dataclass
 class Hasher:
-    """Adds pools (left, right; with a second scheme left2, right2) and a sketch to (id, v) rows."""
+    """Adds pools (left, right; with a second scheme left2, right2), a sketch, and the size and a bitmap of sets to (id, v) rows."""
 
     measure: str
     scheme: Tensor
@@ -106,6 +125,7 @@ class Hasher:
     dim: int = 0
     inner: Tensor | None = None
     sketch_bits: int = 0
+    bitmap_words: int = 0
 
     def functions(self) -> tuple[Bits, Bits | None, Bits | None]:
         one = Bits(self.measure, self.scheme.hashers * self.scheme.k, self.seed, 0, self.dim)
@@ -120,6 +140,8 @@ class Hasher:
         words = self.sketch_bits // 64
         bits = sketch.evaluate(v) if sketch else np.zeros((len(v), 0), np.int64)
         out["sketch"] = np.packbits(bits.astype(np.uint8), axis=1).view(">i8").astype(np.int64).reshape(len(v), words) if words else np.zeros((len(v), 0), np.int64)
+        out["size"] = np.diff(np.asarray(v.offsets)).astype(np.int32)
+        out["bitmap"] = bitmaps(v, self.bitmap_words) if self.bitmap_words else np.zeros((len(v), 0), np.int64)
         return out
 
     def add(self, df: DataFrame, keep_value: bool = False) -> DataFrame:
@@ -129,11 +151,11 @@ class Hasher:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 got = self.columns(b.column(1))
-                out = [b.column(0), *([b.column(1)] if keep_value else []), *(as_lists(pack_pool(got[n]), pa.int64()) for n in names), as_lists(got["sketch"], pa.int64())]
-                yield pa.RecordBatch.from_arrays(out, names=["id", *(["v"] if keep_value else []), *names, "sketch"])
+                out = [b.column(0), *([b.column(1)] if keep_value else []), *(as_lists(pack_pool(got[n]), pa.int64()) for n in names), as_lists(got["sketch"], pa.int64()), pa.array(got["size"]), as_lists(got["bitmap"], pa.int64())]
+                yield pa.RecordBatch.from_arrays(out, names=["id", *(["v"] if keep_value else []), *names, "sketch", "size", "bitmap"])
 
         kinds = dict(df.dtypes)
-        schema = f"id {kinds['id']}" + (f", v {kinds['v']}" if keep_value else "") + "".join(f", {n} array<bigint>" for n in names) + ", sketch array<bigint>"
+        schema = f"id {kinds['id']}" + (f", v {kinds['v']}" if keep_value else "") + "".join(f", {n} array<bigint>" for n in names) + ", sketch array<bigint>, size int, bitmap array<bigint>"
         return df.select("id", "v").mapInArrow(run, schema)
 
 
@@ -166,10 +188,3 @@ def none_equal(left: list[Column], right: list[Column]) -> Column:
     for z in zero[1:]:
         found = found.bitwiseOR(z)
     return found == 0
-
-
-def pools_meet(left_l: Column, right_l: Column, left_r: Column, right_r: Column, scheme: Tensor) -> Column:
-    """Whether two pools collide in some repetition: the least equal left half times the pool's size plus the least equal right half is one."""
-    lanes = lambda pool: F.transform(F.sequence(F.lit(0), F.lit(scheme.hashers - 1)), lambda i: F.call_function("shiftrightunsigned", F.element_at(pool, (F.floor(i / LANES) + 1).cast("int")), (i % LANES) * LANE).bitwiseAND(F.lit(0xFFFF).cast("bigint")))
-    at = lambda a, b: F.nullif(F.array_position(F.zip_with(lanes(a), lanes(b), lambda x, y: x == y), True), F.lit(0)) - 1
-    return F.coalesce(at(left_l, left_r) * scheme.hashers + at(right_l, right_r) < scheme.repetitions, F.lit(False))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 LEFT, RIGHT, BOTH = 0, 1, 2
 
 
-def cell_array(group: Column, groups: int) -> Column:
+def cell_array(group: Column, groups: int | Column) -> Column:
     """The cells (i, j, side) of a row: (d, d) as both, (i, d) for i < d as left, (d, j) for j > d as right."""
     make = lambda i, j, side: F.struct(i.cast("int").alias("cell_i"), j.cast("int").alias("cell_j"), F.lit(side).alias("side"))
-    every = F.sequence(F.lit(0), F.lit(groups - 1))
+    every = F.sequence(F.lit(0), (F.lit(groups) if isinstance(groups, int) else groups) - 1)
     return F.transform(every, lambda o: F.when(o == group, make(group, group, BOTH)).when(o < group, make(o, group, LEFT)).otherwise(make(group, o, RIGHT)))
 
 

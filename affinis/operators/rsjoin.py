@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from affinis.functions.families import hash_at
 from affinis.functions.measures import different_bits, dot, jaccard
-from affinis.operators.selfjoin import bucket_side, first_only, items, make_hasher
+from affinis.operators.selfjoin import bucket_side, first_only, items, make_hasher, near_sizes, usable
 from affinis.plans.params import COSINE, sketch_threshold
 
 
@@ -17,11 +17,11 @@ def similarity_join(
 ) -> DataFrame:
     """Pairs (id_l, id_r, similarity) of a row of left and a row of right. right must be a batch; each pair is found once.
 
-    Values travel with the hashes, so that a stream needs no second join; with a large left batch prefer slim rows and sketches.
+    Values travel with the hashes, so that a stream needs no second join; with a large left batch prefer slim rows and sketches. Rows are usable as in the self-join; repeated ids of left each find their pairs.
     """
     other, measure, dim = items(right, id_col, value_col)
-    rows = left.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{value_col}`").alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0))
-    rows = rows.withColumn("v", F.col("v").cast("array<double>") if measure == COSINE else F.sort_array(F.array_distinct("v")).cast("array<bigint>"))
+    rows, _ = usable(left, id_col, value_col)
+    rows = rows.where(F.size("v") == dim) if measure == COSINE else rows.where("v IS NOT NULL")
     hasher = make_hasher(measure, dim, threshold, k, None, recall, seed, sketch_bits)
     scheme = hasher.scheme
     limit = sketch_threshold(measure, sketch_bits, threshold, sketch_epsilon)
@@ -37,6 +37,6 @@ def similarity_join(
     met = side(rows, "l").join(side(other, "r"), keys)
     if sketch_bits:
         met = met.where(different_bits(c("sketch_l"), c("sketch_r"), sketch_bits // 64) <= limit)
-    met = met.where(first_only(pools))
+    met = met.where(near_sizes(hasher, threshold) & first_only(pools))
     sim = dot(c("v_l"), c("v_r")) if measure == COSINE else jaccard(c("v_l"), c("v_r"))
     return met.select("id_l", "id_r", sim.alias("similarity")).where(c("similarity") >= threshold - 1e-12)

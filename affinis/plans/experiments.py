@@ -54,7 +54,9 @@ def stored(spark: SparkSession, store: str) -> DataFrame:
 
     try:
         return spark.read.schema(RUN).parquet(store)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], RUN)
 
 
@@ -100,16 +102,30 @@ def run(spark: SparkSession, config: Config, store: str, rerun: bool = False, ti
         pairs = similarity_self_join(
             df, config.id_col, config.value_col, config.threshold, config.algorithm, config.k, config.k2, config.recall, config.seed, config.sketch_bits, config.sketch_epsilon, config.dry_run
         ).count()
-    except Exception:
-        if not expired.is_set():
+    except Exception as error:
+        if not (expired.is_set() and cancelled(error)):
             raise
     finally:
         done.set()
+        if watcher:
+            watcher.join()
         spark.sparkContext.removeJobTag(tag)
-    record(spark, config, store, None if pairs is None else int(1000 * (time.perf_counter() - began)), pairs)
+    took = time.perf_counter() - began
+    if timeout and took > timeout:  # a run that ended between two looks of the watcher was too slow as well
+        pairs = None
+    record(spark, config, store, None if pairs is None else int(1000 * took), pairs)
     return pairs
 
 
+def cancelled(error: BaseException | None) -> bool:
+    """Whether an error comes from the cancellation of a job."""
+    while error is not None:
+        if "cancel" in str(error).lower():
+            return True
+        error = error.__cause__
+    return False
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="affinis", description="Count the similar pairs of a dataset of vectors or token sets.")
     parser.add_argument("path")

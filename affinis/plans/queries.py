@@ -30,7 +30,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sets(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
     t = table(spark, sf_dir, name)
-    return t.select(F.col(key).alias("id"), datasets.hashed_tokens(datasets.alphanumeric_tokens(F.col("text"))).alias("v")).where(F.size("v") > 0)
+    return t.select(F.col(key).alias("id"), datasets.hashed_tokens(datasets.alphanumeric_tokens(F.col("text"))).alias("v"))
 
 
 VEC_SQL = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -38,7 +38,7 @@ VEC_SQL = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
 
 def set_sql(name: str = "documents", key: str = "doc_id") -> str:
     words = "list_filter(string_split_regex(text, '[^0-9A-Za-z]+'), lambda x: x <> '')"
-    return f"v AS (SELECT * FROM (SELECT {key} AS id, list_sort(list_distinct(list_transform({words}, lambda w: CAST('0x' || substr(md5(w), 1, 7) AS BIGINT)))) AS v FROM {name}) WHERE len(v) > 0)"
+    return f"v AS (SELECT * FROM (SELECT {key} AS id, list_sort(list_distinct(list_transform({words}, lambda w: CAST('0x' || substr(md5(w), 1, 15) AS BIGINT)))) AS v FROM {name}) WHERE len(v) > 0)"
 
 
 # --- exact joins
@@ -465,6 +465,13 @@ QUERIES: dict[str, Query] = {
     "cosine_local_k4": partial(join_vectors, algorithm="local-lsh", k=4),
     "cosine_local_sketch64": partial(join_vectors, algorithm="local-lsh", k=4, sketch_bits=64),
     "cosine_twolevel_k4_k4": partial(join_vectors, algorithm="two-level-lsh", k=4, k2=4),
+    "cosine_onelevel_k8": partial(join_vectors, algorithm="one-level-lsh", k=8),
+    "cosine_local_k8": partial(join_vectors, algorithm="local-lsh", k=8),
+    "cosine_local_k8_b256": partial(join_vectors, algorithm="local-lsh", k=8, sketch_bits=256),
+    "jaccard_onelevel_k8": partial(join_sets, algorithm="one-level-lsh", k=8),
+    "jaccard_local_k8": partial(join_sets, algorithm="local-lsh", k=8),
+    "skewed_onelevel": partial(join_vectors, algorithm="one-level-lsh", k=4, hot_rows=20),
+    "skewed_twolevel": partial(join_vectors, algorithm="two-level-lsh", k=4, k2=4, hot_rows=20),
     "jaccard_onelevel_k6": partial(join_sets, algorithm="one-level-lsh", k=6),
     "jaccard_local_k6": partial(join_sets, algorithm="local-lsh", k=6),
     "jaccard_twolevel_k6_k4": partial(join_sets, algorithm="two-level-lsh", k=6, k2=4),
@@ -517,6 +524,13 @@ ORACLE_SQL: dict[str, str] = {
     "cosine_local_k4": lsh_pairs_sql(COSINE, R_COSINE, 4),
     "cosine_local_sketch64": lsh_pairs_sql(COSINE, R_COSINE, 4, sketch_bits=64),
     "cosine_twolevel_k4_k4": lsh_pairs_sql(COSINE, R_COSINE, 4, 4),
+    "cosine_onelevel_k8": lsh_pairs_sql(COSINE, R_COSINE, 8),
+    "cosine_local_k8": lsh_pairs_sql(COSINE, R_COSINE, 8),
+    "cosine_local_k8_b256": lsh_pairs_sql(COSINE, R_COSINE, 8, sketch_bits=256),
+    "jaccard_onelevel_k8": lsh_pairs_sql(J, R_JACCARD, 8),
+    "jaccard_local_k8": lsh_pairs_sql(J, R_JACCARD, 8),
+    "skewed_onelevel": lsh_pairs_sql(COSINE, R_COSINE, 4),
+    "skewed_twolevel": lsh_pairs_sql(COSINE, R_COSINE, 4, 4),
     "jaccard_onelevel_k6": lsh_pairs_sql(J, R_JACCARD, 6),
     "jaccard_local_k6": lsh_pairs_sql(J, R_JACCARD, 6),
     "jaccard_twolevel_k6_k4": lsh_pairs_sql(J, R_JACCARD, 6, 4),
