@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PLAIN = (
-    (r"(?s)<!--.*?-->", ""), (r"(?s)<(ref|gallery|timeline|math|code|noinclude)\b[^>]*?/>", ""), (r"(?s)<(ref|gallery|timeline|math|code|noinclude)\b.*?</\1>", ""), (r"<[^>]{1,200}>", ""),
+    (r"(?s)<!--.*?-->", ""), (r"(?s)<(ref|gallery|timeline|math|code|noinclude)\b[^>]*?/>", ""), (r"(?s)<(ref|gallery|timeline|math|code|noinclude)\b.*?</\1>", ""), (r"<[^<>]+>", ""),
     (r"\[\[(?:File|Image|Category):[^\[\]]*\]\]", ""), (r"\[\[[^\[\]|]*\|([^\[\]|]*)\]\]", "$1"), (r"\[\[([^\[\]|]*)\]\]", "$1"), (r"\[(?:https?|ftp)://\S+ ([^\]]*)\]", "$1"), (r"\[(?:https?|ftp)://\S+\]", ""),
     (r"'{2,5}", ""), (r"__[A-Z]+__", ""), (r"(?m)^=+\s*(.*?)\s*=+\s*$", "$1"), (r"(?m)^[*#:;]+\s*", ""), (r"[ \t]+", " "), (r" +([,.;:!?])", "$1"), (r"\n{3,}", "\n\n"),
 )
@@ -70,3 +70,35 @@ def find(text: Column, part: Column) -> Column:
     """Place from 1; -1 where there is none."""
     at = F.position(part, text)
     return F.when(at > 0, at).otherwise(-1)
+
+
+def compact(text: Column) -> Column:
+    """Paragraphs of plain text: headings without text below are left out, list marks go, blank lines end a paragraph, and its lines become one."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^[*#:;|!\-]+\s*", "")))
+    # A heading (= x =) that the next heading, or the end, follows says nothing.
+    marked = F.array_join(lines, "\n")
+    for _ in range(6):  # levels of headings
+        marked = F.regexp_replace(marked, r"(?m)^(=+)[^=\n]+\1[ ]*\n\s*(?=(=+)[^=\n]+\2[ ]*(\n|\z)|\z)", "")
+    paragraphs = F.split(F.regexp_replace(marked, r"(?m)^=+\s*(.*?)\s*=+[ ]*$", "\n$1.\n"), r"\n\s*\n")
+    joined = F.transform(paragraphs, lambda p: F.trim(F.regexp_replace(p, r"\s*\n\s*", " ")))
+    return F.array_join(F.filter(joined, lambda p: p != ""), "\n")
+
+
+def base_name(path: Column) -> Column:
+    return F.substring_index(F.regexp_replace(path, "/+$", ""), "/", -1)
+
+
+def substring(text: Column, begin: Column, length: Column) -> Column:
+    """Places from 1; a negative one counts from the end."""
+    return F.substr(text, begin, length)
+
+
+def replace_some(text: Column, part: str, by: str, times: int | None = None) -> Column:
+    """text with the first so many occurrences of part (all, if not given) replaced."""
+    pieces = F.split(text, "\\Q" + part.replace("\\E", "\\E\\\\E\\Q") + "\\E")
+    if times is None:
+        return F.array_join(pieces, by)
+    n = F.size(pieces)
+    head = F.slice(pieces, F.lit(1), F.least(n, F.lit(times + 1)))
+    tail = F.slice(pieces, F.least(n, F.lit(times + 1)) + 1, F.greatest(n - times - 1, F.lit(0)))
+    return F.array_join(F.concat(F.array(F.array_join(head, by)), tail), part)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from affinis.functions.families import Hasher, hash_at, measure_of, none_equal, prefix_words, unpack_pool, words_of
 from affinis.functions.measures import different_bits, jaccard, length_filter, let, normalize
@@ -53,7 +54,7 @@ def usable(df: DataFrame, id_col: str, value_col: str, unit: bool = False) -> tu
     else:
         texts = isinstance(df.schema[value_col].dataType.elementType, T.StringType)
         v = F.array_compact(v)
-        v = F.sort_array(F.array_distinct(F.transform(v, F.xxhash64) if texts else v.cast("array<bigint>")))
+        v = F.sort_array(F.array_distinct(F.transform(v, lambda x: F.xxhash64(x)) if texts else v.cast("array<bigint>")))
     # let: what makes v may be costly, and must not be computed once more for the test.
     return df.where(name(id_col).isNotNull()).select(name(id_col).alias("id"), let(v, lambda x: F.when(F.size(x) > 0, x)).alias("v")), measure
 
@@ -119,11 +120,15 @@ def all_similarities(measure: str, a: pa.Array, b: pa.Array, dim: int) -> np.nda
 def per_cell(rows: DataFrame, groups: int, solve: Callable[[pa.Table, pa.Table, bool], pa.Table], schema: str) -> DataFrame:
     """Replicate rows to the triangle's cells, and run solve(left rows, right rows, whether they are the same) in each."""
 
+    empty = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in T.DataType.fromDDL(schema).fields]).empty_table()
+
     def run(key: tuple, cell: pa.Table) -> pa.Table:
         side = cell["side"].to_numpy()
         diagonal = bool((side == BOTH).all())
         left = cell if diagonal else cell.filter(pa.array(side != LEFT))
         right = cell if diagonal else cell.filter(pa.array(side == LEFT))
+        if not left.num_rows or not right.num_rows:
+            return empty
         return solve(left.combine_chunks(), right.combine_chunks(), diagonal)
 
     return triangle_cells(rows, groups).groupBy("cell_i", "cell_j").applyInArrow(run, schema)

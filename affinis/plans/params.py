@@ -93,3 +93,36 @@ def worker_grid(workers: int) -> tuple[int, int]:
 def required_overlap(size_l: int, size_r: int, threshold: float) -> float:
     t = threshold * (size_l + size_r) / (1 + threshold)
     return float(round(t)) if abs(t - round(t)) < 1e-14 else t
+
+
+def grid_cell(worker: int, workers: int) -> tuple[int, int]:
+    """Row and column of a worker in the grid, row by row."""
+    return divmod(worker, worker_grid(workers)[1])
+
+
+def grid_worker(row: int, column: int, workers: int) -> int:
+    return row * worker_grid(workers)[1] + column
+
+
+def grid_worker_of(left: int, right: int, workers: int) -> int:
+    """The worker for a pair of keys."""
+    rows, columns = worker_grid(workers)
+    return grid_worker(left % rows, right % columns, workers)
+
+
+@dataclass(frozen=True)
+class Shared:
+    """Another way to pool bits: ``bits`` one-bit functions for each of k places; a repetition picks one of each place's by a linear rule."""
+
+    k: int
+    repetitions: int
+    bits: int
+
+    def picks(self, repetition: int, a: list[int], b: list[int]) -> list[int]:
+        """Which of its bits each place takes, for multipliers a and offsets b."""
+        return [(x * repetition + y) % self.bits for x, y in zip(a, b, strict=True)]
+
+
+def shared(measure: str, threshold: float, k: int) -> Shared:
+    p = probability(measure, threshold)
+    return Shared(k, simple_repetitions(p, k), math.ceil(5 * k / p))

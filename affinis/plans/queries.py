@@ -14,6 +14,7 @@ from affinis.operators import datasets, selfjoin, stats
 from affinis.operators.cells import triangle_cells
 from affinis.plans import results
 from affinis.plans.params import COSINE, Tensor, sketch_threshold, tensor, two_level
+from affinis.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEED, DIM, RECALL = 14598, 64, 0.8
@@ -271,7 +272,7 @@ def grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("gram").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("items"))
 
 
-GRAMS_SQL = """WITH p AS (SELECT item_id, '##' || text || '##' AS t FROM benchmark), g AS (SELECT item_id, substr(t, i, 3) AS gram FROM p, range(1, 100000) AS r(i) WHERE i <= length(t) - 2)
+GRAMS_SQL = """WITH p AS (SELECT item_id, '##' || text || '##' AS t FROM benchmark), g AS (SELECT item_id, substr(t, i, 3) AS gram FROM p, unnest(generate_series(1, greatest(length(t) - 2, 0))) AS r(i))
 SELECT gram, count(*) AS n, count(DISTINCT item_id) AS items FROM g GROUP BY gram"""
 
 
@@ -456,6 +457,130 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.profile_categories(p, (("deduplicate", "brass"), ("verify", "tin"), ("sketch", "copper"), ("hash", "steel")))
 
 
+# --- the rest of the inventory
+
+def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
+    return datasets.diversity_intervals(d).select("id", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
+
+
+INTERVALS_SQL = """WITH c AS (SELECT c_custkey AS id, c_acctbal AS value FROM customer WHERE c_acctbal > 0), r AS (SELECT value, count(*) AS n FROM c GROUP BY 1), g AS (SELECT *, value - lag(value, 1, 0) OVER (ORDER BY value) AS gap FROM r),
+w AS (SELECT id, value, gap / (n * (SELECT sum(gap) FROM g)) AS weight FROM c JOIN g USING (value)), e AS (SELECT id, weight, sum(weight) OVER (ORDER BY value, id ROWS UNBOUNDED PRECEDING) AS hi FROM w WHERE weight > 0)
+SELECT id, round(hi - weight, 9) AS lo, round(hi, 9) AS hi FROM e"""
+
+
+def remapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of orders by the rank of their names; a part without a name has no code."""
+    sets_ = datasets.adjacency(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    names = table(spark, sf_dir, "part").where("p_size > 2").select("p_partkey", "p_name")
+    codes = datasets.renumber(names, ["p_name", "p_partkey"], "code").select(F.col("p_partkey").alias("token"), "code")
+    got = datasets.remap_tokens(sets_, codes)
+    return got.select("id", F.array_join(F.transform("words", lambda w: w.cast("string")), " ").alias("words"))
+
+
+REMAPPED_SQL = """WITH s AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS token FROM lineitem), c AS (SELECT p_partkey AS token, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS code FROM part WHERE p_size > 2)
+SELECT id, CASE WHEN count(*) = count(code) THEN string_agg(code::VARCHAR, ' ' ORDER BY code) END AS words FROM s LEFT JOIN c USING (token) GROUP BY id"""
+
+
+def inflated_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.inflate_vectors(vectors(spark, sf_dir), 3, DIM, SEED).select("id", F.round(measures.norm(F.col("v")), 6).alias("norm"), F.size("v").alias("dim"))
+
+
+INFLATED_SQL = f"SELECT vec_id * 3 + i AS id, CAST(1 AS DOUBLE) AS norm, CAST({DIM} AS INTEGER) AS dim FROM embeddings, range(3) AS r(i)"
+
+
+def lid_of_some(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one point against all others: the point is the operator's argument."""
+    return stats.lid_at(vectors(spark, sf_dir), 7, 0.2).withColumn("lid", F.round("lid", 5))
+
+
+LID_OF_SOME_SQL = f"""WITH {VEC_SQL}, s AS (SELECT a.id, 1 - least(list_inner_product(a.v, b.v), 1) AS d, list_inner_product(a.v, b.v) AS s FROM v a, v b WHERE a.id = 7)
+SELECT id, 0.2::DOUBLE AS range, round(-count(*) / sum(ln(d / 0.8)), 5) AS lid FROM s WHERE s >= 0.2 AND d > 0 GROUP BY id HAVING sum(ln(d / 0.8)) <> 0"""
+
+
+def vector_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as lines of text, and read again."""
+    e = table(spark, sf_dir, "embeddings")
+    lines = e.select(F.col("vec_id").alias("row"), F.concat_ws(" ", F.concat(F.lit("w"), F.col("vec_id")), F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")).alias("value"))
+    got = io.vectors_of_lines(lines, normalized=True)
+    return got.select("row", F.size("v").alias("dim"), F.round(measures.norm(F.col("v")), 5).alias("norm"), F.round(F.element_at("v", 1).cast("double"), 5).alias("first"))
+
+
+VECTOR_LINES_SQL = f"WITH {VEC_SQL} SELECT id AS row, CAST(len(v) AS INTEGER) AS dim, CAST(1 AS DOUBLE) AS norm, round((v[1] / sqrt(list_inner_product(v, v)))::DOUBLE, 5) AS first FROM v"
+
+
+def set_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets written as lines of text, and read again."""
+    own = datasets.adjacency(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    lines = own.select(F.col("id").alias("row"), F.concat_ws(" ", F.concat(F.lit("o"), F.col("id")), F.lit("1000000"), F.array_join(F.transform(F.reverse("words"), lambda x: x.cast("string")), " ")).alias("value"))
+    return io.sets_of_lines(lines).select("row", "universe", F.array_join(F.transform("words", lambda w: w.cast("string")), " ").alias("words"))
+
+
+SET_LINES_SQL = "SELECT l_orderkey AS row, CAST(1000000 AS BIGINT) AS universe, array_to_string(list_sort(list(DISTINCT l_partkey)), ' ') AS words FROM lineitem GROUP BY 1"
+
+
+def distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.unique_columns(table(spark, sf_dir, "events"), ["user_id", "event_type"])
+
+
+def exact_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the exact join as its store keeps them."""
+    return stats.counters_of(vectors(spark, sf_dir), "id", "v", R_COSINE, "cartesian", 1, groups=9).select("id", "kind", "step", "count")
+
+
+EXACT_COUNTERS_SQL = f"""WITH {COSINE_SQL}, n AS (SELECT count(*) AS n FROM v), o AS (SELECT count(*) AS o FROM s)
+SELECT CAST(1 AS BIGINT) AS id, kind, CAST(0 AS INTEGER) AS step, CAST(c AS BIGINT) AS count FROM (SELECT unnest(['Load', 'CandidatePairs', 'SelfPairsDiscarded', 'SketchDiscarded', 'DuplicatesDiscarded', 'SimilarityDiscarded', 'OutputPairs']) AS kind,
+  unnest([9 * n, n * (n - 1) // 2, 0, 0, 0, n * (n - 1) // 2 - o, o]) AS c FROM n, o)"""
+
+
+def newest_of_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.latest_by(runs(spark, sf_dir), ["path", "algorithm", "threads"])
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select((F.pmod("user_id", F.lit(50)) + 1).alias("id"), F.col("event_id").cast("double").alias("time"), F.col("value").alias("cpu_user"))
+
+
+def fastest_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of the fastest run of each dataset and algorithm."""
+    got = results.usage_of_fastest(runs(spark, sf_dir).where("id <= 50"), samples(spark, sf_dir), ["path", "algorithm"])
+    return got.groupBy("id", "path", "algorithm").agg(F.count("*").alias("n"), F.round(F.max("cpu_user"), 6).alias("peak"))
+
+
+FASTEST_SQL = f"""WITH {RUNS_SQL}, f AS (SELECT id, path, algorithm FROM (SELECT *, rank() OVER (PARTITION BY path, algorithm ORDER BY total_time_ms) AS k FROM runs WHERE id <= 50) WHERE k = 1)
+SELECT f.id, path, algorithm, count(*) AS n, round(max(value), 6) AS peak FROM events JOIN f ON user_id % 50 + 1 = f.id GROUP BY ALL"""
+
+
+def smallest_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = runs(spark, sf_dir).withColumn("fraction", F.col("total_time_ms") / 1e6)
+    return results.least_fraction(r, ["path", "algorithm", "threads"]).select("id", "path", "algorithm", "threads", F.round("fraction", 9).alias("fraction"))
+
+
+def ranges_of_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    net = e.select(F.pmod("user_id", F.lit(16)).alias("id"), F.floor(F.abs("value") * 1048576).alias("transmitted"), F.lit(1048576).cast("bigint").alias("received"))
+    got = results.load_range(event_counters(spark, sf_dir), net)
+    return got.select("id", "min_load", "max_load", F.round("mb_sent", 4).alias("mb_sent"), F.round("mb_received", 4).alias("mb_received"))
+
+
+RANGES_SQL = f"""WITH {COUNTERS_CTE}, w AS (SELECT id, worker, count(*) AS load FROM counters WHERE kind = 'Load' GROUP BY ALL), l AS (SELECT id, min(load) AS min_load, max(load) AS max_load FROM w GROUP BY id),
+n AS (SELECT user_id % 16 AS id, sum(floor(abs(value) * 1048576)) / 1048576 AS s, count(*)::DOUBLE AS r FROM events GROUP BY 1)
+SELECT id, min_load, max_load, round(s, 4) AS mb_sent, round(r, 4) AS mb_received FROM l LEFT JOIN n USING (id)"""
+
+
+def bytes_of_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("datastructures_bytes"))
+    r = runs(spark, sf_dir).select("id", F.lit(6).alias("repetitions"), (F.col("threads") + 1).alias("threads"))
+    return results.memory_per_repetition(item, r).withColumn("bytes_per_repetition", F.round("bytes_per_repetition", 6))
+
+
+def pairs_of_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.pmod("p_partkey", F.lit(10)).alias("id"), F.concat(F.lit("x::"), F.when(F.col("p_size") > 25, "sketch").otherwise("predicate")).alias("name"), F.col("p_size").cast("bigint").alias("frame_count"))
+    work = spark.range(10).select("id", F.explode(F.array(F.lit("sketch"), F.lit("verify"))).alias("category"), (F.col("id") * 1000 + 7).alias("pairs"))
+    return results.pairs_per_frame(p, work).withColumn("pairs_per_frame", F.round("pairs_per_frame", 9))
+
+
 QUERIES: dict[str, Query] = {
     "cosine_cartesian_30": join_vectors,
     "jaccard_cartesian_50": join_sets,
@@ -512,6 +637,20 @@ QUERIES: dict[str, Query] = {
     "candidate_fraction": fractions,
     "communication_phases": phases,
     "profile_categories": categories,
+    "diversity_intervals": intervals,
+    "remap_tokens": remapped,
+    "inflate_vectors": inflated_norms,
+    "lid_of_point": lid_of_some,
+    "vector_lines": vector_lines,
+    "set_lines": set_lines,
+    "unique_columns": distinct_pairs,
+    "exact_counters": exact_counters,
+    "latest_of_configuration": newest_of_config,
+    "usage_of_fastest": fastest_usage,
+    "least_fraction": smallest_fractions,
+    "load_range": ranges_of_load,
+    "memory_per_repetition": bytes_of_repetition,
+    "pairs_per_frame": pairs_of_frame,
 }
 
 J = "jaccard"
@@ -574,4 +713,18 @@ SELECT path, algorithm, CAST(sketch_bits AS BIGINT) AS sketch_bits, best, min(be
     "candidate_fraction": f"WITH {COUNTERS_CTE} SELECT id, round((count(*) FILTER (kind = 'CandidatePairs') - count(*) FILTER (kind = 'SelfPairsDiscarded')) / (count(*) * (count(*) - 1) / 2), 9) AS fraction FROM counters GROUP BY id",
     "communication_phases": "WITH s AS (SELECT user_id % 16 AS id, event_id AS time, CAST(floor(abs(value)) AS BIGINT) AS tx FROM events), m AS (SELECT *, max(tx) OVER (PARTITION BY id) AS peak FROM s) SELECT id, min(time) AS begin, max(time) AS \"end\" FROM m WHERE tx > peak * 0.5 GROUP BY id",
     "profile_categories": "SELECT p_partkey % 10 AS id, CASE WHEN contains(lower(p_type), 'brass') THEN 'deduplicate' WHEN contains(lower(p_type), 'tin') THEN 'verify' WHEN contains(lower(p_type), 'copper') THEN 'sketch' WHEN contains(lower(p_type), 'steel') THEN 'hash' ELSE 'other' END AS category, CAST(sum(p_size) AS BIGINT) AS frames FROM part GROUP BY ALL",
+    "diversity_intervals": INTERVALS_SQL,
+    "remap_tokens": REMAPPED_SQL,
+    "inflate_vectors": INFLATED_SQL,
+    "lid_of_point": LID_OF_SOME_SQL,
+    "vector_lines": VECTOR_LINES_SQL,
+    "set_lines": SET_LINES_SQL,
+    "unique_columns": "SELECT DISTINCT user_id, event_type FROM events WHERE user_id IS NOT NULL AND trim(event_type) <> ''",
+    "exact_counters": EXACT_COUNTERS_SQL,
+    "latest_of_configuration": f"WITH {RUNS_SQL} SELECT path, algorithm, threads, max(algorithm_version) AS algorithm_version FROM runs GROUP BY ALL",
+    "usage_of_fastest": FASTEST_SQL,
+    "least_fraction": f"WITH {RUNS_SQL} SELECT id, path, algorithm, threads, round(total_time_ms / 1e6, 9) AS fraction FROM (SELECT *, rank() OVER (PARTITION BY path, algorithm, threads ORDER BY total_time_ms) AS k FROM runs) WHERE k = 1",
+    "load_range": RANGES_SQL,
+    "memory_per_repetition": f"WITH {RUNS_SQL} SELECT l_orderkey AS id, round(sum(l_partkey) / (6 * any_value(threads + 1)), 6) AS bytes_per_repetition FROM lineitem JOIN runs ON l_orderkey = id GROUP BY 1",
+    "pairs_per_frame": "SELECT p_partkey % 10 AS id, CASE WHEN p_size > 25 THEN 'sketch' ELSE 'verify' END AS category, round((any_value(p_partkey % 10) * 1000 + 7) / sum(p_size), 9) AS pairs_per_frame FROM part GROUP BY ALL",
 }
