@@ -173,7 +173,7 @@ def write_wiki_text(pages: DataFrame, path: str, json: bool = True, least: int =
     from affinis.functions.markup import plain_text
 
     done = pages.select("id", "title", plain_text(F.col("text")).alias("text")).where(F.length("text") >= max(1, least))
-    line = F.to_json(F.struct("id", "title", "text")) if json else F.concat_ws("\n", "title", "", "text", F.lit(""))
+    line = F.to_json(F.struct("id", "title", "text")) if json else F.concat_ws("\n", F.col("title"), F.lit(""), F.col("text"), F.lit(""))
     rows = done.repartitionByRange("id").sortWithinPartitions("id").select(line.alias("value"))
     out = rows.write.mode("error").option("compression", compression)
     (out.option("maxRecordsPerFile", rows_a_file) if rows_a_file else out).text(path)
