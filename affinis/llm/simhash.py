@@ -42,7 +42,7 @@ EDGE_RECALL = 0.9
 #: Rows of a bucket, on average, beyond which keys get wider.
 BUCKET_ROWS = 128
 #: Rows of a bucket beyond which it is cut into groups of about this size; keyed rows of a task, about.
-HOT_ROWS, TASK_ROWS = 8192, 1 << 19
+HOT_ROWS, TASK_ROWS = 8192, 1 << 17
 PUNCTUATION = string.punctuation + "¡¿«»„“”‘’…–—·"
 
 
