@@ -219,6 +219,32 @@ def solve_bucket(bucket: pa.Table, length: int, whole: bool = False) -> tuple[pa
     return pa.RecordBatch.from_arrays([names.take(pa.array(doc[at])), pa.array(place[at]), pa.array(last), pa.array(later[at])], names=["id", "first", "last", "later"]), asked
 
 
+def seen_here(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values occur more than once, and which of their places are not the first."""
+    _, first, at, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    sure = count[at] > 1
+    return sure, sure & (first[at] != np.arange(len(h)))
+
+
+def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, id, lead, tie) of the rows whose h occurs more than once, among those that aren't ``again`` or by ``sure``. Rows come sorted by h, but for those that are ``again``; only one is held."""
+    held, last = None, None
+    for batch in batches:
+        again = batch.column(5).to_numpy(zero_copy_only=False)
+        if again.any():
+            yield batch.filter(pa.array(again)).select([0, 1, 2, 3])
+            batch = batch.filter(pa.array(~again))
+        if not batch.num_rows:
+            continue
+        h, sure = batch.column(0).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
+        before = np.append(h[0] == last, h[1:] == h[:-1])
+        if held is not None and before[0]:
+            yield held
+        keep = before | np.append(before[1:], False) | sure
+        yield batch.filter(pa.array(keep)).select([0, 1, 2, 3])
+        last, held = h[-1], None if keep[-1] else batch.slice(batch.num_rows - 1).select([0, 1, 2, 3])
+
+
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id, first, last, later): ranges of the places where repeated runs of length words start; later: not the first occurrence."""
     kind = dict(docs.dtypes)[id_col]
@@ -230,17 +256,16 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 t, offsets = tokens(batch.column(1))
                 text, at, h, _, _ = anchors(t, offsets, length, gram)
                 salt = batch.column(2).to_numpy()[text]
-                lead = leading((t >> np.uint64(32)).astype(np.uint32), offsets[text] + at)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(lead), pa.array(tie(salt, at))], names=["h", "id", "lead", "tie"])
-
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            rows = pa.Table.from_batches(got).combine_chunks()
-            _, at, count = np.unique(rows["h"].to_numpy(), return_inverse=True, return_counts=True)
-            yield from rows.filter(pa.array(count[at] > 1)).to_batches()
-
-    shared = cut(rows.mapInArrow(find, f"h bigint, id {kind}, lead bigint, tie bigint").repartition("h").mapInArrow(repeated, f"h bigint, id {kind}, lead bigint, tie bigint"))
+                lead, ties = leading((t >> np.uint64(32)).astype(np.uint32), offsets[text] + at), tie(salt, at)
+                sure, again = seen_here(h)
+                h = h.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(again, mix((salt + at).view(np.uint64)).view(np.int64), h)), pa.array(h), batch.column(0).take(pa.array(text)), pa.array(lead), pa.array(ties), pa.array(sure), pa.array(again)], names=["route", *names, "sure", "again"])
+
+    names = ["h", "id", "lead", "tie"]
+    schema = f"h bigint, id {kind}, lead bigint, tie bigint"
+    # Of an anchor that a batch has several times one row decides with those of other batches, so that a popular one is no task's work.
+    anchored = rows.mapInArrow(find, f"route bigint, {schema}, sure boolean, again boolean")
+    shared = cut(anchored.repartition("route").sortWithinPartitions("route").select(*names, "sure", "again").mapInArrow(repeated, schema))
     total = shared.count()
     buckets = min(MOST_BUCKETS, max(1, -(-total // bucket_rows)))
     # About SAMPLE keys a bucket.

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from affinis.llm import suffix_dedup as sd
 
@@ -52,6 +53,21 @@ def corpus():
     return [*docs, (60, docs[0][1]), (61, "tick tock " * 90), (62, "tick tock " * 70), (63, None), (64, ""), (65, "short"), (None, docs[1][1]), (66, "z " * 400), (5, docs[5][1])]
 
 
+def test_repeated_rows_of_any_batches():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 300, 500)
+    parts = np.split(np.arange(500), sorted(rng.integers(0, 500, 6).tolist()))
+    rows = []
+    for part in parts:
+        sure, again = sd.seen_here(h[part])
+        rows += [(int(h[i]), int(i), 0, 0, bool(s), bool(a)) for i, s, a in zip(part, sure, again, strict=True)]
+    rows.sort(key=lambda r: rng.integers(0, 300) if r[5] else r[0])
+    for size in (1, 2, 7, 500):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("h", "id", "lead", "tie", "sure", "again"), r, strict=True)) for r in rows[k : k + size]]) for k in range(0, 500, size)]
+        got = [i for b in sd.repeated(iter(batches)) for i in b.column(1).to_pylist()]
+        assert sorted(got) == [i for i in range(500) if (h == h[i]).sum() > 1]
+
+
 def test_spans_against_brute_force(spark):
     docs = corpus()
     df = spark.createDataFrame([(*r, "x", 1, 2) for r in docs], "doc_id bigint, text string, h string, lead int, id int")
