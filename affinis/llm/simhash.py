@@ -394,15 +394,19 @@ def links(reps: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL,
 
 
 def roots(links: DataFrame) -> DataFrame:
-    """(u, v): v is the smallest node of u's component, for each u that isn't; by alternating stars."""
+    """(u, v): v is the smallest node of u's component, for each u that isn't; by alternating stars.
+
+    Least neighbours are aggregated and joined, so that a node with very many neighbours is split like any hot key of a join.
+    """
     links = cut(links)
-    at = Window.partitionBy("u")
     while True:
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(at))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.withColumn("m", F.min("v").over(at))
-        small = low.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        links = cut(small)
+        # Each node's larger neighbours go to the least of its neighbours and itself,
+        pairs = links.select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u"))
+        low = pairs.union(pairs.select(F.col("u").alias("v"), F.col("v").alias("u"))).groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(pairs.join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        # then its smaller neighbours and itself go to the least of them.
+        low = large.groupBy("u").agg(F.min("v").alias("v"))
+        links = cut(large.join(low.withColumnRenamed("v", "m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct())
         inner = links.select("v").distinct().join(links.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
         twice = links.groupBy("u").count().where("count > 1").select(F.col("u").alias("v"))
         if inner.union(twice).isEmpty():
