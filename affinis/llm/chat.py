@@ -5,6 +5,10 @@ The machine reads the roles of a conversation in turn order and holds a table
 is rendered: each turn becomes the template's three segments (prefix, body, suffix) of its role,
 with the loss flag that the template gives to each of them.
 
+A conversation of more than MOST_ROWS rows is never gathered: its turns are cut into parts of PART_TURNS turn numbers, each part is
+folded from every state at once, and the parts' tables are chained; texts are joined to the places that this gives their turns. The rows
+are the same either way.
+
 Defined cases: a conversation that the machine rejects gives one row with ``seg`` and ``turn`` -1, a null text,
 ``loss`` false and the reason in ``status`` (``null turn``, ``repeated turn``, ``unknown role``,
 ``null text``, ``bad order``; the first of these that holds). Rows with a null conversation id are left out, as
@@ -17,10 +21,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from affinis.llm.common import col, table
+from affinis.llm.common import col, cut, table
+
+#: Rows of a conversation that one task gathers at most, and turn numbers of a part of a longer one.
+MOST_ROWS, PART_TURNS = 4096, 4096
 
 
 @dataclass(frozen=True)
@@ -48,28 +55,33 @@ CHAT = Template(
 )
 
 
-def format_chats(conversations: DataFrame, template: Template = CHAT) -> DataFrame:
-    """Rows (conv_id, seg, turn, role, text, loss, status); seg counts a conversation's segments from 0."""
-    rows = conversations.select(*(col(c).alias(c) for c in ("conv_id", "turn", "role", "text"))).where(F.col("conv_id").isNotNull())
+class Machine:
+    """A template's numbers and expressions: roles count from 1 (0: unknown), states from 0, the last is dead."""
+
+    def __init__(self, template: Template):
+        self.roles, states = sorted(template.segments), sorted({template.start, *template.accept, *(s for s, _ in template.moves), *template.moves.values()})
+        self.dead, self.start, self.accept = len(states), states.index(template.start), [states.index(s) for s in template.accept]
+        flat = [states.index(template.moves[s, r]) if (s, r) in template.moves else self.dead for s in states for r in self.roles] + [self.dead] * len(self.roles)
+        self.moves, self.names = F.array(*map(F.lit, flat)), F.array(*map(F.lit, self.roles))
+        piece = lambda p: F.struct(F.lit(p[0]).cast("string").alias("fixed"), F.lit(p[1]).alias("loss"))
+        self.pieces = {r: F.array(*map(piece, template.segments[r])) for r in self.roles}
+
+    def step(self, state: Column, role: Column) -> Column:
+        return F.element_at(self.moves, state * len(self.roles) + role)
+
+    def status(self, null_turn: Column, repeated: Column, unknown: Column, null_text: Column, end: Column) -> Column:
+        """The first of the reasons that holds."""
+        return F.when(null_turn, "null turn").when(repeated, "repeated turn").when(unknown, "unknown role").when(null_text, "null text").when(end.isin(self.accept), "ok").otherwise("bad order")
+
+
+def short_chats(rows: DataFrame, machine: Machine) -> DataFrame:
+    """Each conversation as one array."""
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    roles, states = sorted(template.segments), sorted({template.start, *template.accept, *(s for s, _ in template.moves), *template.moves.values()})
-    dead = len(states)
-    flat = [states.index(template.moves[s, r]) if (s, r) in template.moves else dead for s in states for r in roles] + [dead] * len(roles)
-    moves = F.array(*map(F.lit, flat))
-    names = F.array(*map(F.lit, roles))
-    end = F.aggregate("turns", F.lit(states.index(template.start)), lambda s, t: F.element_at(moves, s * len(roles) + F.array_position(names, t["role"]).cast("int")))
+    end = F.aggregate("turns", F.lit(machine.start), lambda s, t: machine.step(s, F.array_position(machine.names, t["role"]).cast("int")))
     any_ = lambda f: F.exists("turns", f)
     numbers = F.transform("turns", lambda t: t["turn"])
-    status = (
-        F.when(any_(lambda t: t["turn"].isNull()), "null turn")
-        .when(F.size(F.array_distinct(numbers)) < F.size(numbers), "repeated turn")
-        .when(any_(lambda t: t["role"].isNull() | ~t["role"].isin(roles)), "unknown role")
-        .when(any_(lambda t: t["text"].isNull()), "null text")
-        .when(end.isin([states.index(s) for s in template.accept]), "ok")
-        .otherwise("bad order")
-    )
-    piece = lambda p: F.struct(F.lit(p[0]).cast("string").alias("fixed"), F.lit(p[1]).alias("loss"))
-    parts = F.create_map(*(x for r in roles for x in (F.lit(r), F.array(*map(piece, template.segments[r])))))
+    status = machine.status(any_(lambda t: t["turn"].isNull()), F.size(F.array_distinct(numbers)) < F.size(numbers), any_(lambda t: t["role"].isNull() | ~t["role"].isin(machine.roles)), any_(lambda t: t["text"].isNull()), end)
+    parts = F.create_map(*(x for r in machine.roles for x in (F.lit(r), machine.pieces[r])))
     shape = "struct<turn:bigint,role:string,text:string,loss:boolean>"
     turn = lambda t: F.transform(
         F.element_at(parts, t["role"]),
@@ -84,6 +96,41 @@ def format_chats(conversations: DataFrame, template: Template = CHAT) -> DataFra
     )
 
 
+def long_chats(rows: DataFrame, machine: Machine, part_turns: int = PART_TURNS) -> DataFrame:
+    """Conversations of any length: no task holds more than part_turns turns of one, nor their texts."""
+    c, null = F.col, lambda name: F.col(name).isNull()
+    same = [F.xxhash64(F.lit(k), null("role"), "role", null("text"), "text").alias(f"h{k}") for k in range(2)]
+    slim = rows.select("conv_id", "turn", F.coalesce(F.array_position(machine.names, c("role")), F.lit(0)).cast("int").alias("r"), null("text").alias("blank"), *same)
+    twice = F.greatest(*(F.min(f"h{k}") < F.max(f"h{k}") for k in range(2)))
+    turns = slim.groupBy("conv_id", "turn").agg(F.min("r").alias("r"), F.max("blank").alias("blank"), twice.alias("twice")).withColumn("part", F.floor(c("turn") / part_turns))
+    flags = [F.max(e).alias(name) for name, e in (("lost", null("turn")), ("twice", c("twice")), ("unknown", c("r") == 0), ("blank", c("blank")))]
+    of_role = F.array(*(machine.pieces[r] for r in machine.roles))
+    segments = F.flatten(F.transform("turns", lambda t: F.transform(F.element_at(of_role, F.greatest(t["r"], F.lit(1))), lambda p: F.struct(t["turn"].alias("turn"), t["r"].alias("r"), p["fixed"].alias("fixed"), p["loss"].alias("loss")))))
+    fold = lambda s: F.aggregate("turns", s, lambda x, t: machine.step(x, F.greatest(t["r"], F.lit(1))))
+    parts = cut(turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "r"))).alias("turns"), *flags))
+    told = parts.select("conv_id", "part", F.size(segments).alias("n"), F.transform(F.sequence(F.lit(0), F.lit(machine.dead)), fold).alias("to"), *(x for x in parts.columns if x not in ("conv_id", "part", "turns")))
+    chats = told.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "to"))).alias("parts"), *(F.max(x).alias(x) for x in ("lost", "twice", "unknown", "blank")))
+    end = F.aggregate("parts", F.lit(machine.start), lambda s, p: F.element_at(p["to"], s + 1))
+    judged = cut(chats.select("conv_id", machine.status(c("lost"), c("twice"), c("unknown"), c("blank"), end).alias("status")))  # a row for each long conversation
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = told.join(judged.where("status = 'ok'"), "conv_id", "left_semi").select("conv_id", "part", F.coalesce(before, F.lit(0)).alias("base"))
+    places = parts.join(base, ["conv_id", "part"]).select("conv_id", "base", F.posexplode(segments).alias("n", "s")).select("conv_id", (c("base") + c("n")).cast("int").alias("seg"), "s.*")
+    texts = rows.groupBy("conv_id", "turn").agg(F.first("text").alias("text"))  # all of them are the same
+    good = places.join(texts, ["conv_id", "turn"]).select("conv_id", "seg", c("turn").cast("bigint").alias("turn"), F.element_at(machine.names, c("r")).alias("role"), F.coalesce("fixed", "text").alias("text"), "loss", F.lit("ok").alias("status"))
+    bad = judged.where("status <> 'ok'").select("conv_id", F.lit(-1).alias("seg"), F.lit(-1).cast("bigint").alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("loss"), "status")
+    return good.unionByName(bad)
+
+
+def format_chats(conversations: DataFrame, template: Template = CHAT, most_rows: int = MOST_ROWS, part_turns: int = PART_TURNS) -> DataFrame:
+    """Rows (conv_id, seg, turn, role, text, loss, status); seg counts a conversation's segments from 0."""
+    rows = conversations.select(*(col(c).alias(c) for c in ("conv_id", "turn", "role", "text"))).where(F.col("conv_id").isNotNull())
+    machine = Machine(template)
+    large = cut(rows.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > most_rows).select("conv_id"))
+    if large.isEmpty():
+        return short_chats(rows, machine)
+    return short_chats(rows.join(large, "conv_id", "left_anti"), machine).unionByName(long_chats(rows.join(large, "conv_id", "left_semi"), machine, part_turns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 

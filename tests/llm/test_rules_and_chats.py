@@ -67,8 +67,20 @@ def test_chats_against_a_plain_machine(spark):
         (8, 0, "user", "x" * 100000), (8, 1, "assistant", "y"), (8, 2, "tool", "t"), (8, 3, "assistant", "z"), (9, 0, None, "x"), (10, 0, "user", "u"), (11, 1, "system", "s"), (11, 2, "system", "s"),
     ]
     df = spark.createDataFrame([(*r, 1, "c") for r in rows], "conv_id bigint, turn bigint, role string, text string, seg int, status string")
-    got = {}
-    for r in chat.format_chats(df).collect():
-        got.setdefault(r.conv_id, []).append((r.seg, r.text, r.loss, r.status))
-    assert {k: sorted(v, key=lambda x: x[0]) for k, v in got.items()} == reference(rows, chat.CHAT)
+    for most_rows, part_turns in ((4096, 4096), (0, 1), (0, 2), (2, 3), (0, 4096)):
+        got = {}
+        for r in chat.format_chats(df, most_rows=most_rows, part_turns=part_turns).collect():
+            got.setdefault(r.conv_id, []).append((r.seg, r.text, r.loss, r.status))
+        assert {k: sorted(v, key=lambda x: x[0]) for k, v in got.items()} == reference(rows, chat.CHAT)
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_a_conversation_with_most_of_the_rows(spark):
+    """The long way gives the columns and the rows of the short one, turns, roles and copies of rows included."""
+    long = [("a", 3 * i - 40, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(200)]
+    rows = [*long, *long[:30], ("b", 1, "user", "u"), ("b", 2, "assistant", "x"), *(("c", 5, "user", f"u{i}") for i in range(90)), *(("d", i, "user", "u") for i in range(60))]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    short, cut = chat.format_chats(df), chat.format_chats(df, most_rows=50, part_turns=16)
+    assert short.dtypes == cut.dtypes
+    assert sorted(short.collect(), key=str) == sorted(cut.collect(), key=str)
+    assert {r.status for r in cut.collect()} == {"ok", "repeated turn", "bad order"}
