@@ -93,8 +93,11 @@ def pack_pool(x: np.ndarray) -> np.ndarray:
 
 
 def unpack_pool(words: np.ndarray, n: int) -> np.ndarray:
-    """(rows, words) to the n half-hashes of each row."""
-    return (words[:, :, None] >> (LANE * np.arange(LANES)) & 0xFFFF).reshape(len(words), -1)[:, :n]
+    """(rows, words) to the n half-hashes of each row, in 16 bits each: all rows of a cell are held."""
+    out = np.empty((len(words), words.shape[1], LANES), np.int16)
+    for lane in range(LANES):
+        out[:, :, lane] = words >> (LANE * lane) & 0xFFFF
+    return out.reshape(len(words), words.shape[1] * LANES)[:, :n]
 
 
 def bitmaps(values: pa.Array, words: int) -> np.ndarray:

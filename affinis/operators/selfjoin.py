@@ -368,7 +368,7 @@ def meeting(l: dict[str, np.ndarray], r: dict[str, np.ndarray], i: np.ndarray, j
 
 def hash_of(side: dict[str, np.ndarray], rep: int, scheme: Tensor, level: str = "") -> np.ndarray:
     x, y = divmod(rep, scheme.hashers)
-    return side["left" + level][:, x] << scheme.k_right | side["right" + level][:, y]
+    return side["left" + level][:, x].astype(np.int64) << scheme.k_right | side["right" + level][:, y]
 
 
 def row_bytes(hasher: Hasher, with_value: bool) -> int:

@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from affinis.functions.families import pack_pool, unpack_pool
 from affinis.operators import selfjoin, stats
 from affinis.operators.selfjoin import similarity_self_join
+from affinis.plans.params import Tensor
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +104,13 @@ def test_expansion_keeps_no_similarities(vectors):
             c = int((s >= r).sum())
             assert got[i, r] == pytest.approx(r / s[min(3 * c, len(s) - 1)]) if c < len(s) else got[i, r] == 0
     assert stats.lid(df, [0.2]).where(F.col("lid").isNull()).count() == 0
+
+
+def test_half_hashes_of_a_cell_are_narrow():
+    pool = np.random.default_rng(4).integers(0, 1 << 15, (50, 17))
+    got = unpack_pool(pack_pool(pool), 17)
+    assert (got == pool).all()
+    assert got.itemsize == 2
+    scheme = Tensor(30, 17 * 17, 17)
+    for rep in (0, 100, 288):
+        assert (selfjoin.hash_of({"left": got, "right": got}, rep, scheme) == pool[:, rep // 17] << 15 | pool[:, rep % 17]).all()
