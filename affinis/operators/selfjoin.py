@@ -371,8 +371,15 @@ def hash_of(side: dict[str, np.ndarray], rep: int, scheme: Tensor, level: str =
     return side["left" + level][:, x].astype(np.int64) << scheme.k_right | side["right" + level][:, y]
 
 
-def row_bytes(hasher: Hasher, with_value: bool) -> int:
-    return 64 + 8 * (words_of(hasher.scheme.hashers) * 2 + hasher.sketch_bits // 64 + hasher.bitmap_words) + (8 * hasher.dim if with_value else 0)
+def value_bytes(rows: DataFrame, dim: int) -> int:
+    """Of a vector as it travels."""
+    return dim * (4 if dict(rows.dtypes)["v"] == "array<float>" else 8)
+
+
+def row_bytes(hasher: Hasher, value: int = 0) -> int:
+    """Of a hashed row, with so many bytes of its value."""
+    pools = sum(2 * words_of(scheme.hashers) for scheme in (hasher.scheme, hasher.inner) if scheme)
+    return 64 + 8 * (pools + hasher.sketch_bits // 64 + hasher.bitmap_words) + value
 
 
 def local_lsh(rows: DataFrame, hasher: Hasher, threshold: float, limit: int, groups: int | None = None) -> DataFrame:
@@ -400,7 +407,7 @@ def local_lsh(rows: DataFrame, hasher: Hasher, threshold: float, limit: int, gro
 
     kind = dict(rows.dtypes)["id"]
     if groups is None:
-        groups = group_count(rows, row_bytes(hasher, vectors))
+        groups = group_count(rows, row_bytes(hasher, value_bytes(rows, dim) if vectors else 0))
     pairs = per_cell(hashed, groups, solve, f"id_l {kind}, id_r {kind}" + (", similarity double" if vectors else ""))
     return pairs if vectors else verify(pairs, rows, measure, dim).where(F.col("similarity") >= threshold - 1e-12)
 
@@ -595,11 +602,11 @@ def similarity_self_join(
             return set_pairs(rows, threshold, groups)
         words = 0 if measure == COSINE else bitmap_words(dim, 2 * BITS_PER_TOKEN)
         slim = rows if measure == COSINE else with_bitmaps(rows, words)
-        return cartesian(slim, measure, dim, threshold, groups or group_count(rows, 64 + 8 * (dim + words)), words)
+        return cartesian(slim, measure, dim, threshold, groups or group_count(rows, 64 + 8 * words + (value_bytes(rows, dim) if measure == COSINE else 8 * dim)), words)
     hasher = make_hasher(measure, dim, threshold, k, k2 if algorithm == "two-level-lsh" else None, recall, seed, sketch_bits, BITS_PER_TOKEN * (1 + (algorithm == "local-lsh")))
     limit = sketch_threshold(measure, sketch_bits, threshold, sketch_epsilon)
     if measure == COSINE and not dry_run and (blocks_pay(hasher) if blocks is None else blocks):
-        return hashed_cells(rows, hasher, threshold, limit, groups or group_count(rows, row_bytes(hasher, True)))
+        return hashed_cells(rows, hasher, threshold, limit, groups or group_count(rows, row_bytes(hasher, value_bytes(rows, dim))))
     if measure != COSINE and threshold >= RARE_PAYS and not dry_run and (scheme_lists_many(hasher) if blocks is None else blocks):
         return set_pairs(rows, threshold, groups, replace(hasher, bitmap_words=0), limit)
     if algorithm == "local-lsh":
@@ -629,7 +636,8 @@ def near_folded(df: DataFrame, id_col: str, value_col: str, threshold: float, fo
     if measure != COSINE:
         raise TypeError("pairs are folded for vectors only")
     made = hasher(dim) if hasher else None
-    groups = group_count(rows, row_bytes(made, True) if made else 64 + 8 * dim)
+    value = value_bytes(rows, dim)
+    groups = group_count(rows, row_bytes(made, value) if made else 64 + value)
     solve = lambda left, right, diagonal: fold(near_vectors(matrix(left, dim), matrix(right, dim), threshold, diagonal), left, right)
     return per_cell(made.add(rows, keep_value=True) if made else rows, groups, solve, schema)
 

@@ -106,6 +106,21 @@ def test_expansion_keeps_no_similarities(vectors):
     assert stats.lid(df, [0.2]).where(F.col("lid").isNull()).count() == 0
 
 
+def test_cells_follow_the_width_of_what_travels(vectors, monkeypatch):
+    """Groups, and so the copies of a row, follow its real bytes: floats are half as wide as doubles, and pools of both levels count."""
+    _, floats = vectors
+    doubles = floats.withColumn("v", F.col("v").cast("array<double>"))
+    used = []
+    monkeypatch.setattr(selfjoin, "GROUP_BYTES", 1024)
+    monkeypatch.setattr(selfjoin, "per_cell", lambda rows, groups, solve, schema: used.append(groups) or rows)
+    options = [{"algorithm": "cartesian"}, {"algorithm": "one-level-lsh", "k": 4}, {"algorithm": "local-lsh", "k": 4, "sketch_bits": 64}, {"algorithm": "two-level-lsh", "k": 4, "k2": 4}]
+    for df in (floats, doubles):
+        for o in options:
+            similarity_self_join(df, "id", "v", 0.3, **o)
+    wide = [64 + 4 * 16, 64 + 8 * 4 + 4 * 16, 64 + 8 * 5 + 4 * 16, 64 + 8 * (6 + 6) + 4 * 16]  # pools of 6, 6, and 7 and 7 half-hashes, three to a word
+    assert used == [-(-240 * (w + more) // 1024) for more in (0, 4 * 16) for w in wide]
+
+
 def test_half_hashes_of_a_cell_are_narrow():
     pool = np.random.default_rng(4).integers(0, 1 << 15, (50, 17))
     got = unpack_pool(pack_pool(pool), 17)
